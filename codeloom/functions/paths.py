@@ -49,10 +49,10 @@ def normalised(path: Column | str) -> Column:
 
 def ancestors(path: Column | str) -> Column:
     """All proper prefixes of a path: ``a/b/c -> [a, a/b]``."""
-    path = col(path)
-    depth = F.size(F.split(path, "/"))
+    parts = F.split(col(path), "/")
+    depth = F.size(parts)
     return F.when(depth > 1, F.transform(F.sequence(F.lit(1), depth - 1),
-                                         lambda i: F.substring_index(path, "/", i))
+                                         lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
                   ).otherwise(F.array().cast("array<string>"))
 
 
