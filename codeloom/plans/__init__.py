@@ -4,7 +4,7 @@ import importlib
 
 from codeloom.plans.registry import CHECKS, QUERIES
 
-MODULES = ["extraction", "naming", "duplicates"]
+MODULES = ["extraction", "naming", "duplicates", "merging", "analytics"]
 for _name in MODULES:
     importlib.import_module(f"codeloom.plans.{_name}")
 

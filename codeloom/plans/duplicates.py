@@ -239,11 +239,13 @@ WITH {_PAIRS}, v AS (SELECT file_id, 'a' AS kind, old, new FROM pairs UNION ALL
 SELECT file_id, kind, {UPDATE_TYPE} AS update_type FROM v""", "files"))
 def f23(t):
     p = pairs(t)
+    def variant(kind, old, new):
+        return F.struct(F.lit(kind).alias("kind"), old.alias("o"), new.alias("n"))
+
+    old, new = F.col("old"), F.col("new")
     v = p.select("file_id", F.inline(F.array(
-        F.struct(F.lit("a").alias("kind"), F.col("old").alias("o"), F.col("new").alias("n")),
-        F.struct(F.lit("b"), F.col("old"), F.concat("old", "new")),
-        F.struct(F.lit("c"), F.concat("old", "new"), F.col("old")),
-        F.struct(F.lit("d"), F.col("old"), F.concat(F.replace("old", F.lit("\n"), F.lit(" x\n")), "new")))))
+        variant("a", old, new), variant("b", old, F.concat(old, new)), variant("c", F.concat(old, new), old),
+        variant("d", old, F.concat(F.replace(old, F.lit("\n"), F.lit(" x\n")), new)))))
     return v.select("file_id", "kind", update_type("o", "n").alias("update_type"))
 
 
