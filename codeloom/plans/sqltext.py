@@ -117,9 +117,14 @@ FROM pages""",
 NEEDS = {"code_blocks": ["samples"], "code_pages": ["code_blocks"], "versions": ["files"]}
 
 
-def add_view(name: str, sql: str, needs: list[str]) -> None:
+RECURSIVE: set[str] = set()
+
+
+def add_view(name: str, sql: str, needs: list[str], recursive: bool = False) -> None:
     VIEWS[name] = sql
     NEEDS[name] = needs
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def sql(body: str, *views: str) -> str:
@@ -136,11 +141,13 @@ def sql(body: str, *views: str) -> str:
         visit(v)
     if not order:
         return body
-    ctes = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name].strip()})" for name in order)
+    ctes = ",\n".join(f"{name} AS {'' if name in RECURSIVE else 'MATERIALIZED '}({VIEWS[name].strip()})" for name in order)
+    if RECURSIVE & set(order):
+        ctes = "RECURSIVE " + ctes
     head = body.lstrip()
     if head[:5].upper() == "WITH ":
         rest = head[5:]
         if rest[:10].upper() == "RECURSIVE ":
-            return f"WITH RECURSIVE {ctes},\n{rest[10:]}"
+            return f"WITH RECURSIVE {ctes.removeprefix('RECURSIVE ')},\n{rest[10:]}"
         return f"WITH {ctes},\n{rest}"
     return f"WITH {ctes}\n{body}"
