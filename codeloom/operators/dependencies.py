@@ -69,39 +69,53 @@ def main_files(files: DataFrame) -> DataFrame:
     return g.select("project_id", F.coalesce(F.get(names, F.col("rank")), F.col("first_path"), F.lit("index.js")).alias("main_file"))
 
 
+# --- fixed values: ecosystem -> manifest file -----------------------------------------------
+MANIFESTS = {"python": "requirements.txt", "node": "package.json", "go": "go.mod", "java": "pom-dependencies.xml"}
+NOTE = "# Auto-generated from the extracted files"
+
+
+def _frame(ecosystem: Column, project: Column, main: Column) -> Column:
+    """Lines around the package lines: (section, line); packages stand in section 100."""
+    heads = {
+        "python": [NOTE, "# Review and update versions as needed", ""],
+        "node": ["{", F.concat(F.lit('  "name": "'), P.package_name(project), F.lit('",')), '  "version": "1.0.0",',
+                 F.concat(F.lit('  "main": "'), main, F.lit('",')), '  "scripts": {',
+                 F.concat(F.lit('    "start": "node '), main, F.lit('",')),
+                 '    "test": "echo \\"Error: no test specified\\" && exit 1"', "  },", '  "dependencies": {'],
+        "go": [F.concat(F.lit("module "), P.module_name(project)), "", "go 1.21", "", "require ("],
+        "java": ["<dependencies>"],
+    }
+    tails = {"python": [], "node": ["  }", "}"], "go": [")"], "java": ["</dependencies>"]}
+    out = F.when(F.lit(False), F.array(F.struct(F.lit(0).alias("section"), F.lit("").alias("line"))))
+    for name, head in heads.items():
+        rows = [*enumerate(head), *enumerate(tails[name], start=200)]
+        out = out.when(ecosystem == name, F.array(*[
+            F.struct(F.lit(n).alias("section"), (x if isinstance(x, Column) else F.lit(x)).alias("line")) for n, x in rows]))
+    return out
+
+
+def _package_line(ecosystem: Column, package: Column, is_last: Column) -> Column:
+    comma = F.when(is_last, F.lit("")).otherwise(F.lit(","))
+    return (F.when(ecosystem == "python", package)
+            .when(ecosystem == "node", F.concat(F.lit('    "'), package, F.lit('": "^latest"'), comma))
+            .when(ecosystem == "go", F.concat(F.lit("\t"), package, F.lit(" latest")))
+            .otherwise(F.concat(F.lit("  <dependency><groupId>"), F.substring_index(package, ":", 1), F.lit("</groupId><artifactId>"),
+                                F.substring_index(package, ":", -1), F.lit("</artifactId></dependency>"))))
+
+
 def manifest_lines(deps: DataFrame, mains: DataFrame) -> DataFrame:
     """Manifest files line by line: ``project_id, path, section, sort_key, line``.
 
     The lines of a manifest ordered by (section, sort_key) are its text; a project may have any
     number of packages, so nothing is gathered.
     """
-    def lines(rows: list[tuple[int, str | Column]]) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit("").alias("sort_key"), (
-            x if isinstance(x, Column) else F.lit(x)).alias("line")) for s, x in rows]))
-
-    def block(ecosystem: str, path: str, head: list, package_line: Column, tail: list, per_project: DataFrame | None = None) -> DataFrame:
-        mine = deps.where(F.col("ecosystem") == ecosystem)
-        last = mine.groupBy("project_id").agg(F.max("package").alias("last_package"))
-        if per_project is not None:
-            last = last.join(per_project, "project_id", "left")
-        frame = last.select("project_id", lines([*[(0 + i, x) for i, x in enumerate(head)], *[(200 + i, x) for i, x in enumerate(tail)]]).alias("l"))
-        body = mine.join(last.select("project_id", "last_package"), "project_id").select(
-            "project_id", F.struct(F.lit(100).alias("section"), F.col("package").alias("sort_key"), package_line.alias("line")).alias("l"))
-        return frame.unionByName(body).select("project_id", F.lit(path).alias("path"), "l.*")
-
-    note = "# Auto-generated from the extracted files"
-    package, is_last = F.col("package"), F.col("package") == F.col("last_package")
-    main = F.coalesce("main_file", F.lit("index.js"))
-    name = P.package_name("project_id")
-    node_head = ["{", F.concat(F.lit('  "name": "'), name, F.lit('",')), '  "version": "1.0.0",',
-                 F.concat(F.lit('  "main": "'), main, F.lit('",')), '  "scripts": {',
-                 F.concat(F.lit('    "start": "node '), main, F.lit('",')),
-                 '    "test": "echo \\"Error: no test specified\\" && exit 1"', "  },", '  "dependencies": {']
-    node_line = F.concat(F.lit('    "'), package, F.lit('": "^latest"'), F.when(is_last, F.lit("")).otherwise(F.lit(",")))
-    java_line = F.concat(F.lit("  <dependency><groupId>"), F.substring_index(package, ":", 1), F.lit("</groupId><artifactId>"),
-                         F.substring_index(package, ":", -1), F.lit("</artifactId></dependency>"))
-    return (block("python", "requirements.txt", [note, "# Review and update versions as needed", ""], package, [])
-            .unionByName(block("node", "package.json", node_head, node_line, ["  }", "}"], mains))
-            .unionByName(block("go", "go.mod", [F.concat(F.lit("module "), P.module_name("project_id")), "", "go 1.21", "", "require ("],
-                               F.concat(F.lit("\t"), package, F.lit(" latest")), [")"]))
-            .unionByName(block("java", "pom-dependencies.xml", ["<dependencies>"], java_line, ["</dependencies>"])))
+    ecosystem = F.col("ecosystem")
+    heads = deps.groupBy("project_id", "ecosystem").agg(F.max("package").alias("last_package")).join(mains, "project_id", "left")
+    frame = heads.select("project_id", "ecosystem", F.explode(_frame(
+        ecosystem, F.col("project_id"), F.coalesce("main_file", F.lit("index.js")))).alias("l")).select(
+        "project_id", "ecosystem", "l.section", F.lit("").alias("sort_key"), "l.line")
+    body = deps.join(heads.select("project_id", "ecosystem", "last_package"), ["project_id", "ecosystem"]).select(
+        "project_id", "ecosystem", F.lit(100).alias("section"), F.col("package").alias("sort_key"),
+        _package_line(ecosystem, F.col("package"), F.col("package") == F.col("last_package")).alias("line"))
+    names = F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv])
+    return frame.unionByName(body).select("project_id", F.element_at(names, ecosystem).alias("path"), "section", "sort_key", "line")
