@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from codeloom.functions.paths import base_name
-from codeloom.functions.text import col, default, extract, lookup, presence, strip
+from codeloom.functions.text import col, default, extract, lookup, once, presence, strip
 from codeloom.rules import languages as L
 
 
@@ -56,14 +56,13 @@ def scores(text: Column, table, structure_bonus: bool = False) -> list[Column]:
 
 def best(text: Column, table, floor: int = 1, structure_bonus: bool = False) -> Column:
     """Highest scoring language, null below ``floor``. One projection: no rows per indicator, no shuffle."""
-    top = F.greatest(*scores(text, table, structure_bonus))
-    return F.when(top["score"] >= floor, top["language"])
+    return once(F.greatest(*scores(text, table, structure_bonus)),
+                lambda top: F.when(top["score"] >= floor, top["language"]))
 
 
 def from_content(code: Column | str) -> Column:
-    text = strip(code)
-    return F.when(text == "", F.lit("text")).otherwise(
-        F.coalesce(best(text, L.INDICATORS, structure_bonus=True), F.lit("text")))
+    return once(strip(code), lambda text: F.when(text == "", F.lit("text")).otherwise(
+        F.coalesce(best(text, L.INDICATORS, structure_bonus=True), F.lit("text"))))
 
 
 def from_content_unit(code: Column | str) -> Column:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from codeloom.functions.text import BLANKS, col, extract, lookup, presence, strip
+from codeloom.functions.text import BLANKS, col, extract, lookup, once, presence, strip
 from codeloom.rules import languages as L, naming as N
 
 
@@ -65,7 +65,10 @@ def _all_match(text: Column, patterns: list[str]) -> Column:
 
 def from_content(code: Column | str, language: Column | str) -> Column:
     """Content fingerprints, first match wins."""
-    text, language = strip(code), col(language)
+    return once(strip(code), lambda text: _fingerprint(text, col(language)))
+
+
+def _fingerprint(text: Column, language: Column) -> Column:
 
     def fingerprints(rows):
         chain = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -90,8 +93,10 @@ def from_content(code: Column | str, language: Column | str) -> Column:
 
 def _heading_of_line(line: Column) -> Column:
     """``number \\u0001 title`` of a heading-like line, null otherwise."""
-    text = F.btrim(line, F.lit(BLANKS))
+    return once(F.btrim(line, F.lit(BLANKS)), _heading_of_text)
+
 
+def _heading_of_text(text: Column) -> Column:
     def numbered(pattern):
         number = F.regexp_extract(text, pattern, 1)
         return F.when(text.rlike(pattern), F.concat(
@@ -113,7 +118,11 @@ def heading(text: Column | str) -> Column:
 
 
 def from_heading(text_before: Column | str, surrounding: Column | str, language: Column | str) -> Column:
-    found = F.coalesce(heading(presence(text_before)), heading(presence(surrounding)))
+    return once(F.coalesce(heading(presence(text_before)), heading(presence(surrounding))),
+                lambda found: _heading_name(found, language))
+
+
+def _heading_name(found: Column, language: Column | str) -> Column:
     number, caption = F.substring_index(found, "\u0001", 1), F.substring_index(found, "\u0001", -1)
     slug = F.regexp_replace(F.regexp_replace(F.lower(caption), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     slug = presence(F.substring(slug, 1, 40))
@@ -141,6 +150,8 @@ def resolve(code, label, text_before, text_after, surrounding, language, index)
         from_surrounding(surrounding), from_create_phrase(code), from_import(code, language), from_fence(code),
         from_content(code, language), from_heading(text_before, surrounding, language), generated(language, index),
     ]
-    return F.coalesce(*[
-        F.when(c.isNotNull(), F.struct(F.lit(s).alias("strategy"), c.alias("name")))
-        for s, c in zip(STRATEGIES, candidates)])
+    def labelled(strategy: str, candidate: Column) -> Column:
+        return once(candidate, lambda name: F.when(
+            name.isNotNull(), F.struct(F.lit(strategy).alias("strategy"), name.alias("name"))))
+
+    return F.coalesce(*[labelled(s, c) for s, c in zip(STRATEGIES, candidates)])

@@ -20,6 +20,15 @@ def rstrip(c: Column | str) -> Column:
     return F.rtrim(col(c), F.lit(BLANKS))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often ``use`` mentions it.
+
+    Expressions inside conditional branches are not shared by the code generator, so a costly
+    value mentioned by a long rule chain would be computed once per rule.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def presence(c: Column | str) -> Column:
     """The value, or null where it is null or empty."""
     c = col(c)

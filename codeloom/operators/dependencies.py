@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codeloom.functions import paths as P
 from codeloom.functions.text import presence
 from codeloom.rules import dependencies as R
+from codeloom.session import cut_lineage
 
 SCRIPT = ["javascript", "typescript"]
 
@@ -110,6 +111,7 @@ def manifest_lines(deps: DataFrame, mains: DataFrame) -> DataFrame:
     number of packages, so nothing is gathered.
     """
     ecosystem = F.col("ecosystem")
+    deps = cut_lineage(deps)  # distinct packages: narrow, and read twice below
     heads = deps.groupBy("project_id", "ecosystem").agg(F.max("package").alias("last_package")).join(mains, "project_id", "left")
     frame = heads.select("project_id", "ecosystem", F.explode(_frame(
         ecosystem, F.col("project_id"), F.coalesce("main_file", F.lit("index.js")))).alias("l")).select(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codeloom.functions import paths as P
 from codeloom.functions.text import content_hash, line_count
 from codeloom.operators.ranking import numbered, rows_of, winners
+from codeloom.session import cut_lineage
 
 COARSE = 1_000_000  # ids per coarse group when numbering inside a path
 
@@ -116,13 +117,14 @@ def losers(h: DataFrame, similar_members: DataFrame | None = None, strategy: str
     Survivors are found by aggregation and joined back by group key; a group's rows
     never gather in one task because the joined side has one row per group.
     """
-    narrow = h.select("file_id", "project_id", F.lower("path").alias("path"), "hash", "ts", "size")
+    # hashes are computed in one pass over the contents; the rest works on these narrow rows
+    narrow = cut_lineage(h.select("file_id", "project_id", F.lower("path").alias("path"), "hash", "ts", "size"))
 
     def beaten(groups: DataFrame, keys: list[str]) -> DataFrame:
         keep = survivors(groups, keys, strategy).withColumnRenamed("file_id", "keeper")
         return groups.join(keep, keys).where("file_id <> keeper").select("file_id")
 
-    conflicts = path_conflicts(h).select("project_id", "path")
+    conflicts = path_conflicts(narrow).select("project_id", "path")
     out = beaten(narrow, ["hash"]).unionByName(
         beaten(narrow.join(conflicts, ["project_id", "path"], "left_semi"), ["project_id", "path"]))
     if similar_members is not None:
@@ -136,6 +138,7 @@ def without_duplicates(files: DataFrame, removed: DataFrame) -> DataFrame:
 
 def statistics(h: DataFrame) -> DataFrame:
     """Totals of one corpus: files, excess of exact groups, excess of path conflicts."""
+    h = cut_lineage(h.select("project_id", "path", "hash"))
     exact = h.groupBy("hash").agg(F.count("*").alias("n")).agg(
         F.sum("n").alias("total_files"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("exact_duplicates"))
     paths = path_conflicts(h).agg(F.struct(F.coalesce(F.sum(F.col("files") - 1), F.lit(0)).alias("excess"),
@@ -169,6 +172,7 @@ def recommendations(stats: DataFrame) -> DataFrame:
 def group_report(h: DataFrame) -> DataFrame:
     """Long form of exact and path groups: one row per member."""
     cols = ["path", "size", "lines", "language", "file_id"]
+    h = cut_lineage(h.select("project_id", "hash", *cols))
     exact = h.join(exact_groups(h).select("hash", "files"), "hash").select(
         F.lit("exact").alias("group_type"), F.col("hash").alias("group_key"), F.col("files").alias("count"), *cols)
     low = h.withColumn("_low", F.lower("path"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codeloom.functions import language as G, naming as N, paths as P
-from codeloom.functions.text import strip
+from codeloom.functions.text import once, strip
 
 # Groups below are one page, which is one row of the crawl, so their windows stay bounded.
 
@@ -13,8 +13,9 @@ from codeloom.functions.text import strip
 def resolve_names(blocks: DataFrame) -> DataFrame:
     """``strategy`` and sanitised ``file_name`` of every block; a pure projection."""
     found = N.resolve("code", "label", "text_before", "text_after", "surrounding_text", "language", "block_index")
-    return (blocks.withColumn("_n", found).withColumn("strategy", F.col("_n.strategy"))
-            .withColumn("file_name", P.sanitised_path_name("_n.name")).drop("_n"))
+    clean = once(found, lambda n: F.struct(n["strategy"].alias("strategy"),
+                                           once(n["name"], P.sanitised_path_name).alias("file_name")))
+    return blocks.withColumn("_n", clean).select(*blocks.columns, "_n.strategy", "_n.file_name")
 
 
 def unique_names(named: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.functions import paths as P
 from codeloom.functions.text import strip
+from codeloom.session import cut_lineage
 
 CHARS = "├└│─┬┼"
 BOX = f"[{CHARS}]"
@@ -108,9 +109,10 @@ def drawn_tree(files: DataFrame) -> DataFrame:
     nodes = parts.select("project_id", "arrival", F.posexplode("prefixes").alias("level", "node"), (F.size("prefixes") - 1).alias("leaf_level"))
     nodes = nodes.groupBy("project_id", "node").agg(
         F.min("arrival").alias("arrival"), F.first("level").alias("level"), F.bool_or(F.col("level") < F.col("leaf_level")).alias("is_dir"))
-    nodes = nodes.withColumn("parent", P.directory("node"))
+    # narrow and used several times below
+    nodes = cut_lineage(nodes.withColumn("parent", P.directory("node")))
     last = nodes.groupBy("project_id", "parent").agg(F.max(F.struct("arrival", "node")).alias("l"))
-    marked = nodes.join(last, ["project_id", "parent"]).withColumn("is_last", F.col("node") == F.col("l.node")).drop("l")
+    marked = cut_lineage(nodes.join(last, ["project_id", "parent"]).withColumn("is_last", F.col("node") == F.col("l.node")).drop("l"))
     steps = marked.select("project_id", "node", F.explode(F.concat(P.ancestors("node"), F.array("node"))).alias("step"))
     info = marked.select("project_id", F.col("node").alias("step"), F.col("arrival").alias("s_arrival"), F.col("level").alias("s_level"),
                          F.col("is_last").alias("s_last"))

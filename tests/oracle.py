@@ -43,7 +43,9 @@ def compare(spark, con, folder: str, name: str) -> str | None:
     """None when equal, otherwise what differs."""
     from codeloom.plans import CHECKS, QUERIES
     df = QUERIES[name](spark, folder)
+    start = time.time()
     got_names, got = df.columns, df.collect()
+    compare.spark_seconds = time.time() - start
     if name not in CHECKS:
         return None
     result = con.execute(CHECKS[name])
@@ -76,7 +78,7 @@ def main(argv: list[str]) -> int:
             problem = f"{type(e).__name__}: {str(e)[:1800]}"
         failures += problem is not None
         mark = "ok" if problem is None else "FAIL"
-        print(f"{mark:5}{'' if name in CHECKS else '(rows) '}{name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{mark:5}{'' if name in CHECKS else '(rows) '}{name} {time.time() - start:.1f}s (Spark {getattr(compare, 'spark_seconds', 0):.1f}s) {problem or ''}", flush=True)
     print(f"{len(names) - failures}/{len(names)} ok")
     return failures
 
