@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from codeloom.functions import language as G, naming as N, paths as P
-from codeloom.functions.text import once, strip
+from codeloom.functions import language as G, naming as N, paths as P, refine as R
+from codeloom.functions.text import once
 
 # Groups below are one page, which is one row of the crawl, so their windows stay bounded.
 
@@ -75,5 +75,27 @@ def ingest_defaults(raw: DataFrame) -> DataFrame:
         F.col("position").alias("order"))
 
 
-def stripped_lines(text):
-    return F.transform(F.split(text, "\n"), strip)
+def refine_names(files: DataFrame) -> DataFrame:
+    """Refined name, confidence and reasons of every file; signals are columns of their own."""
+    s = R.signals(F.col("content"), F.col("language"))
+    sig = F.struct(*[s[k].alias(k) for k in [*R.SIGNALS, *R.CARRIED]])
+    # the array keeps the signals computed once, however often the proposals mention them
+    rows = files.withColumn("signals", F.explode(F.array(sig)))
+    name, confidence, reason = R.propose(F.col("signals"), F.col("language"), F.col("file_name"))
+    empty = F.coalesce(F.col("content"), F.lit("")) == ""
+    return rows.select(
+        *files.columns, "signals", F.when(empty, F.col("file_name")).otherwise(name).alias("refined_name"),
+        F.when(empty, F.lit(0.0)).otherwise(confidence).alias("confidence"),
+        F.when(empty, F.lit("No content to analyze")).otherwise(reason).alias("reason"))
+
+
+def normalised_arrivals(blocks: DataFrame, now) -> DataFrame:
+    """Files of arriving blocks with placeholder names and fallbacks for the fields left open."""
+    from codeloom.functions.text import default, line_count
+    name = default("file_name", F.concat(F.lit("file_"), F.col("block_id").cast("string"), F.lit(".txt")))
+    content = default("content", "")
+    return blocks.select(
+        "block_id", name.alias("file_name"), default("path", name).alias("path"), content.alias("content"),
+        F.coalesce(F.when(F.col("language") != "", F.col("language")), G.from_content(content)).alias("language"),
+        F.length(content).alias("size"), line_count(content).alias("lines"), default("source", "live_scan").alias("source"),
+        F.coalesce("ts", now).alias("ts"))
