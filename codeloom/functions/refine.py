@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from codeloom.functions.text import extract, lookup
+from codeloom.functions.text import extract, lookup, once
 from codeloom.rules import languages as L
 
 # --- fixed values: confidence of each signal ----------------------------------------------
@@ -125,6 +125,13 @@ def _lower_first(name: Column) -> Column:
     return F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
 
 
+def _test_name(name: Column, language: Column, ext: Column) -> Column:
+    base = F.regexp_replace(name, r"\.\w+$", "")
+    return (F.when(language == "python", F.concat(F.lit("test_"), base, F.lit(".py")))
+            .when(language.isin(*JVM), F.concat(base, F.lit("Test"), ext)).when(language == "go", F.concat(base, F.lit("_test.go")))
+            .when(language == "rust", F.concat(F.lit("test_"), base, F.lit(".rs"))).otherwise(F.concat(base, F.lit(".test"), ext)))
+
+
 def propose(sig: Column, language: Column, file_name: Column) -> tuple[Column, Column, Column]:
     """Refined name, confidence and reasons from a struct of signals."""
     ext = refined_extension(language)
@@ -132,14 +139,11 @@ def propose(sig: Column, language: Column, file_name: Column) -> tuple[Column, C
     pattern = F.coalesce(sig["pattern"], F.when(sig["plain_export"], exported))
     why = F.coalesce(sig["pattern_reason"], F.when(sig["plain_export"], F.concat(F.lit("Named after primary export: "), sig["export"])))
     name = F.coalesce(pattern, file_name)
-    name = F.when(sig["export"].isNotNull() & ((name == "unknown") | F.startswith(name, F.lit("snippet_"))), exported).otherwise(name)
+    name = once(name, lambda n: F.when(
+        sig["export"].isNotNull() & ((n == "unknown") | F.startswith(n, F.lit("snippet_"))), exported).otherwise(n))
     main = sig["main"] & pattern.isNull()
     name = F.when(main, F.concat(F.lit("main"), ext)).otherwise(name)
-    base = F.regexp_replace(name, r"\.\w+$", "")
-    tested = (F.when(language == "python", F.concat(F.lit("test_"), base, F.lit(".py")))
-              .when(language.isin(*JVM), F.concat(base, F.lit("Test"), ext)).when(language == "go", F.concat(base, F.lit("_test.go")))
-              .when(language == "rust", F.concat(F.lit("test_"), base, F.lit(".rs"))).otherwise(F.concat(base, F.lit(".test"), ext)))
-    name = F.when(sig["test"], tested).otherwise(name)
+    name = once(name, lambda n: F.when(sig["test"], _test_name(n, language, ext)).otherwise(n))
     parts = F.filter(F.split(sig["route_path"], "/"), lambda x: x != "")
     route = F.coalesce(F.get(parts, F.size(parts) - 1), F.lit("route"))
     component_ext = (F.when(language == "typescript", F.lit(".tsx")).when(language == "vue", F.lit(".vue"))

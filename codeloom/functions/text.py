@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLANKS = " \t\n\r"
 
@@ -29,6 +29,15 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row ``inline``, which the optimizer does not merge with later projections.
+
+    Plain columns are substituted into every expression that mentions them, also into the body of
+    a lambda, where they would be computed once per array element.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def presence(c: Column | str) -> Column:
     """The value, or null where it is null or empty."""
     c = col(c)

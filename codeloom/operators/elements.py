@@ -10,46 +10,50 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.functions import html as H
 from codeloom.functions.selectors import chain_pattern
-from codeloom.functions.text import once, presence, strip
+from codeloom.functions.text import computed, once, presence, strip
 from codeloom.operators.blocks import site_of
 from codeloom.rules import sites as R
 
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 CODE_LIKE = r'(?i)^<(?:pre|code|code-block)[\s>]|\sclass="[^"]*(?:code|CodeMirror|editor)|\sdata-(?:code|lang)'
 CONTAINERS = r'(?i)^<(?:article|main|section)[\s>]|\sclass=|\sdata-(?:testid|message)'
-_STATE = ("struct<stack:array<struct<name:string,raw:string,at:int>>,"
+_STATE = ("struct<stack:array<struct<name:string,raw:string,at:int,wanted:boolean>>,"
           "out:array<struct<at:int,until:int,chain:string>>>")
 
 
-def _closed(acc: Column, e: Column, i: Column, wanted: str) -> Column:
+def _closed(acc: Column, e: Column, i: Column) -> Column:
     """Pop the nearest open tag of that name with everything above it; nothing without one."""
     stack = acc["stack"]
-    places = F.transform(stack, lambda s, n: F.when(s["name"] == e["name"], n + 1).otherwise(F.lit(0)))
-    place = F.coalesce(F.array_max(places), F.lit(0))
-    opened = F.get(stack, place - 1)
-    chain = F.array_join(F.transform(F.slice(stack, F.lit(1), place), lambda s: s["raw"]), "")
-    found = F.struct(opened["at"].alias("at"), i.alias("until"), chain.alias("chain"))
-    out = F.when(opened["raw"].rlike(wanted), F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
-    kept = F.struct(F.slice(stack, F.lit(1), F.greatest(place - 1, F.lit(0))).alias("stack"), out.alias("out"))
-    return F.when(place == 0, acc).otherwise(kept.cast(_STATE))
+
+    def pop(place: Column) -> Column:
+        opened = F.get(stack, place - 1)
+        chain = F.array_join(F.transform(F.slice(stack, F.lit(1), place), lambda s: s["raw"]), "")
+        found = F.struct(opened["at"].alias("at"), i.alias("until"), chain.alias("chain"))
+        out = F.when(opened["wanted"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
+        kept = F.struct(F.slice(stack, F.lit(1), place - 1).alias("stack"), out.alias("out"))
+        return F.when(place == 0, acc).otherwise(kept.cast(_STATE))
+
+    # depth of the nearest open tag of that name: position from the top of the stack
+    from_top = F.array_position(F.transform(F.reverse(stack), lambda s: s["name"]), e["name"])
+    return once(F.when(from_top > 0, F.size(stack) - from_top + 1).otherwise(F.lit(0)).cast("int"), pop)
 
 
 def elements(pages: DataFrame, wanted: str) -> DataFrame:
     """``page_id, url, at, chain, tag, text`` of closed elements whose opening tag matches ``wanted``."""
-    tokens = F.regexp_extract_all(H.without_noise("html"), F.lit(r"<[^>]*>|[^<]+"), F.lit(0))
-    marks = F.transform(tokens, lambda t, i: F.struct(
+    rows = computed(pages, tokens=F.regexp_extract_all(H.without_noise("html"), F.lit(r"<[^>]*>|[^<]+"), F.lit(0)))
+    marks = F.transform("tokens", lambda t, i: F.struct(
         F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][\w-]*)", 1)).alias("name"), F.startswith(t, F.lit("</")).alias("closes"),
-        F.endswith(t, F.lit("/>")).alias("alone"), t.alias("raw"), (i + 1).alias("at")))
+        F.endswith(t, F.lit("/>")).alias("alone"), t.alias("raw"), (i + 1).alias("at"), t.rlike(wanted).alias("wanted")))
     marks = F.filter(marks, lambda m: (m["name"] != "") & ~m["name"].isin(*VOID) & ~m["alone"])
 
     def step(acc: Column, e: Column) -> Column:
-        pushed = F.struct(F.concat(acc["stack"], F.array(F.struct(e["name"].alias("name"), e["raw"].alias("raw"), e["at"].alias("at")))).alias("stack"),
+        pushed = F.struct(F.concat(acc["stack"], F.array(F.struct(e["name"].alias("name"), e["raw"].alias("raw"), e["at"].alias("at"), e["wanted"].alias("wanted")))).alias("stack"),
                           acc["out"].alias("out")).cast(_STATE)
-        return F.when(e["closes"], _closed(acc, e, e["at"], wanted)).otherwise(pushed)
+        return F.when(e["closes"], _closed(acc, e, e["at"])).otherwise(pushed)
 
     start = F.from_json(F.lit('{"stack":[],"out":[]}'), _STATE)
     found = F.aggregate(marks, start, step, lambda acc: acc["out"])
-    rows = pages.select("page_id", "url", tokens.alias("tokens"), found.alias("found"))
+    rows = computed(rows.select("page_id", "url", "tokens"), found=found)
     texts = F.transform("found", lambda f: F.struct(
         f["at"].alias("at"), f["chain"].alias("chain"),
         H.decode_entities(F.array_join(F.filter(F.slice(F.col("tokens"), f["at"] + 1, f["until"] - f["at"] - 1),
@@ -67,7 +71,7 @@ def _first_rule(selectors: list[str]) -> Column:
 
 def generic_blocks(pages: DataFrame) -> DataFrame:
     """Code-like elements of any page in rule order; texts with the same first 100 characters appear once."""
-    e = elements(pages, CODE_LIKE).withColumn("priority", _first_rule(R.GENERIC_SELECTORS)).where("priority IS NOT NULL")
+    e = computed(elements(pages, CODE_LIKE), priority=_first_rule(R.GENERIC_SELECTORS)).where("priority IS NOT NULL")
     e = e.where((F.length("text") >= 15) & F.col("text").rlike(r"\S"))
     w = Window.partitionBy("page_id", F.substring(strip("text"), 1, 100)).orderBy("priority", "at")  # within one page
     first = e.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
@@ -82,7 +86,7 @@ def site_blocks(pages: DataFrame) -> DataFrame:
     rule = F.when(F.lit(False), F.lit(0))
     for site, selectors in R.BLOCK_SELECTORS.items():
         rule = rule.when(F.col("site") == site, _first_rule(selectors))
-    e = e.withColumn("priority", rule).where("priority IS NOT NULL").withColumn("code", strip("text")).where(F.length("code") >= 10)
+    e = computed(e, priority=rule, code=strip("text")).where((F.length("code") >= 10) & F.col("priority").isNotNull())
     order = Window.partitionBy("page_id").orderBy("priority", "at")
     classes = F.lower(H.attribute("tag", "class"))
     language = F.coalesce(presence(F.regexp_extract(classes, r"language-(\w+)", 1)), presence(F.regexp_extract(classes, r"lang-(\w+)", 1)),
@@ -96,14 +100,15 @@ def message_containers(pages: DataFrame) -> DataFrame:
     rule = F.when(F.lit(False), F.lit(0))
     for site, selectors in R.MESSAGE_SELECTORS.items():
         rule = rule.when(F.col("site") == site, _first_rule(selectors))
-    e = e.withColumn("priority", rule).where("priority IS NOT NULL")
+    e = computed(e, priority=rule).where("priority IS NOT NULL")
     best = F.min("priority").over(Window.partitionBy("page_id"))
     return e.withColumn("_b", best).where("priority = _b").drop("_b")
 
 
 def conversation(pages: DataFrame) -> DataFrame:
     """``page_id, at, author, text`` of message nodes; a page without any gives its whole body."""
-    e = elements(pages, CONTAINERS).where(_first_rule(R.CONVERSATION_SELECTORS).isNotNull()).withColumn("text", strip("text")).where("text <> ''")
+    e = elements(pages, CONTAINERS).where(_first_rule(R.CONVERSATION_SELECTORS).isNotNull())
+    e = computed(e.withColumnRenamed("text", "raw_text"), text=strip("raw_text")).where("text <> ''")
     classes = F.lower(F.coalesce(H.attribute("tag", "class"), F.lit("")))
     author = (F.when(classes.rlike(R.USER_CLASS), F.lit("User")).when(classes.rlike(R.ASSISTANT_CLASS), F.lit("Assistant"))
               .otherwise(F.lit("Unknown")))
@@ -124,7 +129,7 @@ def _plain(fragment: Column) -> Column:
 
 def _last_match(fragment: Column, pattern: str) -> Column:
     found = F.filter(F.transform(F.regexp_extract_all(fragment, F.lit(pattern), F.lit(1)), lambda x: strip(H.text_content(x))), lambda x: x != "")
-    return F.get(found, F.size(found) - 1)
+    return once(found, lambda f: F.get(f, F.size(f) - 1))
 
 
 HEADING = r"(?is)(<h[1-4][^>]*>.*?</h[1-4]>|<p[^>]*>\s*<(?:strong|b)>.*?</(?:strong|b)>)"
@@ -140,12 +145,11 @@ def block_contexts(pages: DataFrame) -> DataFrame:
     segments = H.segments(clean, ["pre"])
     head = F.get(F.split(clean, r"(?i)<pre(?:[ \t\r\n][^>]*)?>"), 0)
     gaps = F.concat(F.array(head), F.transform(segments, lambda s: F.regexp_replace(s["body"], r"(?is)^.*?</pre>", "")))
-    rows = pages.select("page_id", "url", gaps.alias("gaps"), F.posexplode(segments).alias("n", "s"))
-    rows = rows.withColumn("code", H.code_text(F.col("s"))).where(F.length("code") >= 10)
+    rows = computed(pages, segments=segments, gaps=gaps).select("page_id", "url", "gaps", F.posexplode("segments").alias("n", "s"))
+    rows = computed(rows, code=H.code_text(F.col("s"))).where(F.length("code") >= 10)
     before, after = F.get("gaps", F.col("n")), F.get("gaps", F.col("n") + 1)
     heads = F.filter(F.transform(F.slice("gaps", F.lit(1), F.col("n") + 1), lambda g: _last_match(g, HEADING)), lambda h: h.isNotNull())
-    rows = rows.select("page_id", "url", "n", "code", before.alias("b"), _plain(before).alias("bt"), _plain(after).alias("at"),
-                       F.get(heads, F.size(heads) - 1).alias("heading"))
+    rows = computed(rows, b=before, bt=_plain(before), at=_plain(after), heading=once(heads, lambda h: F.get(h, F.size(h) - 1)))
     own_line = once(F.substring_index("bt", "\n", -1), lambda x: F.when((x != "") & (F.length(x) < 100), x))
     file_label = _last_match(F.col("b"), NAMED)
     votes, bot = _last_match(F.col("b"), VOTES), _last_match(F.col("b"), BOT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codeloom.functions import language as G, naming as N, paths as P, refine as R
-from codeloom.functions.text import once
+from codeloom.functions.text import computed, once
 
 # Groups below are one page, which is one row of the crawl, so their windows stay bounded.
 
@@ -79,8 +79,7 @@ def refine_names(files: DataFrame) -> DataFrame:
     """Refined name, confidence and reasons of every file; signals are columns of their own."""
     s = R.signals(F.col("content"), F.col("language"))
     sig = F.struct(*[s[k].alias(k) for k in [*R.SIGNALS, *R.CARRIED]])
-    # the array keeps the signals computed once, however often the proposals mention them
-    rows = files.withColumn("signals", F.explode(F.array(sig)))
+    rows = computed(files, signals=sig)
     name, confidence, reason = R.propose(F.col("signals"), F.col("language"), F.col("file_name"))
     empty = F.coalesce(F.col("content"), F.lit("")) == ""
     return rows.select(

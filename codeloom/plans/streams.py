@@ -128,3 +128,13 @@ SELECT block_id, (language IN ('pre', 'code') OR {' OR '.join(f"contains(label,
   OR (contains(code, chr(10)) AND length(code) > 50 AND ({like('code', SB.CODE_LINE)} OR {like('code', SB.CODE_BRACKETS)})) AS code_like FROM code_blocks""", "code_blocks"))
 def code_like(t):
     return V.code_blocks(t).select("block_id", SB.looks_like_code("label", "language", "code").alias("code_like"))
+
+
+@query("st5_complete_blocks", """
+SELECT doc_id AS page_id, source AS element_id, sha256(text) AS hash FROM documents
+WHERE doc_id * 60000 + 500 <= (SELECT max(doc_id) FROM documents) * 60000 - 600000""")
+def complete_blocks(t):
+    """Texts that came to rest before the watermark; the last ten minutes are still held."""
+    d = _documents(t).select(F.col("event_id").alias("page_id"), F.col("project_id").alias("element_id"), F.col("content").alias("text"), "ts",
+                             F.lit(False).alias("busy"))
+    return SK.run_to_table(SM.complete_blocks(d)).select("page_id", "element_id", F.sha2("text", 256).alias("hash"))
