@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from codeloom.functions.text import col, extract, strip
+from codeloom.functions.text import col, extract, once, strip
 
 NOISE = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 TAG = r"<[^>]*>"
@@ -32,13 +32,16 @@ def decode_entities(c: Column | str) -> Column:
     out = col(c)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    numbers = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
-    decoded = F.aggregate(
-        numbers, out,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")),
-                                 F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint") % 65536), 4, "0")), "UTF-16BE")))
-    out = F.when(out.contains("&#"), decoded).otherwise(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+    def numeric(text: Column) -> Column:
+        numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
+        decoded = F.aggregate(
+            numbers, text,
+            lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")),
+                                     F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint") % 65536), 4, "0")), "UTF-16BE")))
+        return F.replace(F.when(text.contains("&#"), decoded).otherwise(text), F.lit("&amp;"), F.lit("&"))
+
+    return F.when(col(c).contains("&"), once(out, numeric)).otherwise(col(c))
 
 
 def escape(c: Column | str) -> Column:
@@ -50,7 +53,7 @@ def escape(c: Column | str) -> Column:
 
 def text_content(html: Column | str) -> Column:
     """Decoded text of a fragment."""
-    return decode_entities(without_tags(html))
+    return once(without_tags(html), decode_entities)
 
 
 def segments(html: Column | str, tags: list[str]) -> Column:
@@ -84,10 +87,12 @@ def prose_text(segment: Column) -> Column:
 
 def code_text(segment: Column) -> Column:
     """Text of a ``pre`` element, or of the ``code`` element directly inside it."""
+    def content(body: Column) -> Column:
+        inner = F.regexp_extract(body, r"(?is)<code(?:[ \t\r\n][^>]*)?>(.*?)(?:</code>|\z)", 1)
+        return F.when(body.rlike(r"(?i)<code[ \t\r\n>]"), inner).otherwise(body)
+
     body = F.regexp_replace(segment["body"], r"(?is)</pre>.*", "")
-    inner = extract(body, r"(?is)<code(?:[ \t\r\n][^>]*)?>(.*?)(?:</code>|\z)")
-    return strip(text_content(F.when(body.rlike(r"(?i)<code[ \t\r\n>]"), F.coalesce(inner, F.lit("")))
-                              .otherwise(body)))
+    return strip(text_content(once(body, content)))
 
 
 def code_attributes(segment: Column) -> Column:

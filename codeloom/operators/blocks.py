@@ -45,13 +45,13 @@ def extract_code_blocks(pages: DataFrame) -> DataFrame:
     segments = H.segments(H.without_noise("html"), ["pre"])
 
     def block(s: Column) -> Column:
-        attrs = H.code_attributes(s)
-        classes = F.lower(F.concat_ws(" ", H.attribute(attrs, "class")))
-        data = F.coalesce(H.attribute(attrs, "data-language"), H.attribute(attrs, "data-lang"),
-                          H.attribute(attrs, "language"))
-        return F.struct(H.code_text(s).alias("code"), classes.alias("classes"), data.alias("data_language"))
+        return F.struct(H.code_text(s).alias("code"), H.code_attributes(s).alias("attrs"))
 
     out = _numbered(pages, F.transform(segments, block))
+    attrs = F.col("attrs")
+    out = out.withColumn("classes", F.lower(F.coalesce(H.attribute(attrs, "class"), F.lit("")))).withColumn(
+        "data_language", F.coalesce(H.attribute(attrs, "data-language"), H.attribute(attrs, "data-lang"),
+                                    H.attribute(attrs, "language"))).drop("attrs")
     language = F.coalesce(F.lower(presence("data_language")), _class_language("classes"), F.lit("text"))
     return out.withColumn("language", language)
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.functions import paths as P
-from codeloom.functions.text import occurrences
+from codeloom.functions.text import computed, occurrences
 
 # --- fixed values: score of each kind of match -----------------------------------------
 FIELD_SCORES = [("name", 100), ("path", 50), ("source_url", 30), ("page_title", 40), ("source_site", 25)]
@@ -53,13 +53,13 @@ def _points(test: Column, points: int) -> Column:
 
 
 def relevance(query: str, now: Column) -> Column:
-    """Score of a row; recency only counts for rows that match at all."""
+    """Score of a row with its lower-cased ``content_text``; recency only counts for rows that match at all."""
     low = query.lower().strip()
     parts = [_points(F.lower(c).contains(low), n) for c, n in FIELD_SCORES]
     parts.append(_points(F.lower("name") == low, NAME_EQUAL))
     for c, n in (("tags", TAG), ("languages", LANGUAGE)):
         parts.append(F.size(F.filter(c, lambda x: F.lower(x).contains(low))) * n)
-    text = F.lower("content")
+    text = F.col("content_text")
     parts.append(_points(text.contains(low), CONTENT))
     for t in tokens(query):
         parts.append(_points(F.col("search_text").contains(t), TOKEN))
@@ -90,7 +90,8 @@ def matches(table: DataFrame, query: str, now: Column, type: str | None = None,
         out = out.where(F.col("created_at") >= since)
     if until is not None:
         out = out.where(F.col("created_at") <= until)
-    return out.withColumn("score", relevance(query, now)).where("score > 0")
+    out = computed(out, content_text=F.lower("content"))
+    return computed(out, score=relevance(query, now)).where("score > 0").drop("content_text")
 
 
 def search(table: DataFrame, query: str, now: Column, sort: str = "relevance", offset: int = 0, limit: int = 50, **filters) -> DataFrame:
