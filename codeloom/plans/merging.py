@@ -83,7 +83,7 @@ def resolved_conflicts(t):
 
 @query("d11_merged_split_blocks", sql(f"""
 WITH RECURSIVE b AS (SELECT page_id, block_index, file_name, language, code AS content FROM typed_blocks),
-fold AS (SELECT page_id, block_index, block_index AS head, file_name, language, content, 1 AS parts FROM b WHERE block_index = 0
+fold AS (SELECT page_id, block_index, block_index AS head, file_name, language, content, CAST(1 AS BIGINT) AS parts FROM b WHERE block_index = 0
   UNION ALL SELECT b.page_id, b.block_index, CASE WHEN j THEN f.head ELSE b.block_index END, CASE WHEN j THEN f.file_name ELSE b.file_name END,
     CASE WHEN j THEN f.language ELSE b.language END, CASE WHEN j THEN f.content || chr(10) || b.content ELSE b.content END,
     CASE WHEN j THEN f.parts + 1 ELSE 1 END

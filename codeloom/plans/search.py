@@ -106,7 +106,7 @@ _FILE = ("CASE WHEN contains(lower(name), 'en') THEN 100 ELSE 0 END + CASE WHEN
          " + CASE WHEN instr(lower(content), 'en') > 0 THEN 30 ELSE 0 END + CASE WHEN instr(lower(content), 'en') BETWEEN 1 AND 100 THEN 20 ELSE 0 END")
 
 
-@query("q4_file_relevance", sql(f"SELECT key, score FROM (SELECT key, {_FILE} AS score FROM search_table WHERE type = 'file') WHERE score > 0", "search_table"))
+@query("q4_file_relevance", sql(f"SELECT key, score FROM (SELECT key, CAST({_FILE} AS BIGINT) AS score FROM search_table WHERE type = 'file') WHERE score > 0", "search_table"))
 def file_relevance(t):
     return O.search_files(table(t), "EN ").select("key", "score")
 

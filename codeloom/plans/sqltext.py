@@ -80,7 +80,7 @@ SELECT doc_id AS file_id, source AS project_id, lang || '/Doc_' || CAST(doc_id /
 FROM documents""",
     "samples": f"SELECT * FROM (VALUES {_SAMPLES}) v(i, language, label, before, after, around, prefix, code)",
     "code_blocks": f"""
-SELECT doc_id // 8 AS page_id, CAST(doc_id % 8 AS INTEGER) AS block_index, 'p' || CAST(doc_id // 64 AS VARCHAR) AS project_id,
+SELECT doc_id // 8 AS page_id, CAST(doc_id % 8 AS BIGINT) AS block_index, 'p' || CAST(doc_id // 64 AS VARCHAR) AS project_id,
        'https://' || ({_HOSTS})[(doc_id // 8) % {len(HOSTS)} + 1] || '/c/' || CAST(doc_id // 8 AS VARCHAR) AS url,
        doc_id AS block_id, source, s.language, s.label, s.before AS text_before, s.after AS text_after,
        s.around AS surrounding_text,

@@ -25,7 +25,7 @@ SELECT *, row_number() OVER (PARTITION BY text_id, tree_id ORDER BY pos) AS i FR
 WHERE name <> ''""", ["tree_lines"])
 # parent of a line: nearest earlier line of smaller depth
 add_view("tree_nodes", """
-SELECT n.text_id, n.tree_id, n.i, n.pos, n.depth, n.name, n.name AS path, 1 AS level FROM tree_entries n
+SELECT n.text_id, n.tree_id, n.i, n.pos, n.depth, n.name, n.name AS path, CAST(1 AS BIGINT) AS level FROM tree_entries n
 WHERE NOT EXISTS (SELECT 1 FROM tree_entries p WHERE p.text_id = n.text_id AND p.tree_id = n.tree_id AND p.i < n.i AND p.depth < n.depth)
 UNION ALL SELECT c.text_id, c.tree_id, c.i, c.pos, c.depth, c.name, t.path || '/' || c.name, t.level + 1 FROM tree_nodes t JOIN (
   SELECT n.*, (SELECT max(p.i) FROM tree_entries p WHERE p.text_id = n.text_id AND p.tree_id = n.tree_id AND p.i < n.i AND p.depth < n.depth) AS parent FROM tree_entries n) c
