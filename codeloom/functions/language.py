@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from codeloom.functions.paths import base_name
@@ -21,12 +23,8 @@ def from_file_name(name: Column | str) -> Column:
                       lookup(L.EXTENSION_LANGUAGE, F.regexp_extract(base, r"\.[^.]*$", 0)))
 
 
-def _score(text: Column, weight: int, needles: list[str]) -> Column:
-    hits = [F.when(text.contains(n), F.lit(weight)).otherwise(F.lit(0)) for n in needles]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return total
+def _total(points: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, points)
 
 
 def _yaml_bonus(text: Column) -> Column:
@@ -41,23 +39,28 @@ def is_json(text: Column | str) -> Column:
     return F.try_parse_json(col(text)).isNotNull()
 
 
-def scores(text: Column, table, structure_bonus: bool = False) -> list[Column]:
-    """Structs (score, tie order, language); comparing structs picks score first, then the earliest language."""
-    out = []
-    for order, (language, weight, needles) in enumerate(table):
-        score = _score(text, weight, needles)
-        if structure_bonus and language == "json":
-            score = score + F.when(is_json(text), F.lit(10)).otherwise(F.lit(-2))
-        if structure_bonus and language == "yaml":
-            score = score + _yaml_bonus(text)
-        out.append(F.struct(score.alias("score"), F.lit(-order).alias("tie"), F.lit(language).alias("language")))
-    return out
+def best(text: Column, table, floor: int = 1, structure_bonus: bool = False) -> Column:
+    """Highest scoring language, null below ``floor``; the earliest language wins ties.
 
+    One projection: no rows per indicator, no shuffle, and each distinct substring is looked for once
+    however many languages share it. Structs compare by score first, then by tie order.
+    """
+    needles = list(dict.fromkeys(n for _, _, own in table for n in own))
+    place = {n: i for i, n in enumerate(needles)}
 
-def best(text: Column, table, floor: int = 1, structure_bonus: bool = False) -> Column:
-    """Highest scoring language, null below ``floor``. One projection: no rows per indicator, no shuffle."""
-    return once(F.greatest(*scores(text, table, structure_bonus)),
-                lambda top: F.when(top["score"] >= floor, top["language"]))
+    def ranked(found: Column) -> Column:
+        out = []
+        for order, (language, weight, own) in enumerate(table):
+            score = _total([F.get(found, F.lit(place[n])) for n in own]) * weight
+            if structure_bonus and language == "json":
+                score = score + F.when(is_json(text), F.lit(10)).otherwise(F.lit(-2))
+            if structure_bonus and language == "yaml":
+                score = score + _yaml_bonus(text)
+            out.append(F.struct(score.alias("score"), F.lit(-order).alias("tie"), F.lit(language).alias("language")))
+        return F.greatest(*out)
+
+    hits = F.array(*[text.contains(n).cast("int") for n in needles])
+    return once(once(hits, ranked), lambda top: F.when(top["score"] >= floor, top["language"]))
 
 
 def from_content(code: Column | str) -> Column:
@@ -88,7 +91,7 @@ def confidence(code: Column | str, language: Column | str) -> Column:
     code, language = col(code), col(language)
     out = F.when(language == "text", F.lit(0.0))
     for name, needles in L.CONFIDENCE_INDICATORS.items():
-        out = out.when(language == name, _score(code, 1, needles) / F.lit(float(len(needles))))
+        out = out.when(language == name, _total([code.contains(n).cast("int") for n in needles]) / F.lit(float(len(needles))))
     return out.otherwise(F.lit(0.5))
 
 

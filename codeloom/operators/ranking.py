@@ -20,7 +20,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], coarse: Column
     local = tagged.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_coarse").orderBy(*order)))
     renamed = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                              F.col("_coarse").alias("_c"), "_before")
-    same = (F.col("_coarse") == F.col("_c"))
+    same = F.col("_coarse").eqNullSafe(F.col("_c"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     joined = local.join(renamed, same)

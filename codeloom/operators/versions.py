@@ -66,7 +66,7 @@ def as_of(probes: DataFrame, versions: DataFrame) -> DataFrame:
     ahead = rows.select(*KEY, "minute").distinct().join(last, [*KEY, "minute"], "left")
     before = Window.partitionBy(*KEY).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
     carried = ahead.withColumn("carried", F.last("last_version", ignorenulls=True).over(before)).drop("last_version")
-    return (local.where("side = 1").join(carried, [*KEY, "minute"])
+    return (local.where("side = 1").join(carried, [*KEY, "minute"], "left")
             .select("probe_id", *KEY, "ts", F.coalesce("found", "carried").alias("version_id")))
 
 
