@@ -4,7 +4,7 @@ import importlib
 
 from codeloom.llm.queries.registry import CHECKS, QUERIES
 
-MODULES = ["op09_packing"]
+MODULES = ["op03_quality", "op09_packing"]
 for _name in MODULES:
     importlib.import_module(f"codeloom.llm.queries.{_name}")
 
