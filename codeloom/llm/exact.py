@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeloom.llm.shared import written
+from codeloom.llm.shared import rows_once, written
 
 #: Code points in a block.
 BLOCK = 4096
@@ -107,17 +107,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Rows are found again by id and the hash of their text; of rows that repeat both, one stays.
-    """
-    classes = duplicate_classes(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    tagged = docs.withColumn("_own", F.sha2(normal_text(F.col(text_col)), 256))
-    same = tagged[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    kept = tagged.join(classes, same, "left_semi")
-    repeated = written(docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id"), "repeated-ids")
-    if repeated.isEmpty():
-        return kept.drop("_own")
-    again = kept[id_col].eqNullSafe(F.col("_id"))
-    once = kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col, "_own"]))
-    return once.drop("_own")
+    """The rows of ``docs`` that stay, with all their columns. Rows are found again by id and the hash of their text."""
+    classes = duplicate_classes(docs, id_col, text_col).groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("key"))
+    chosen = classes.agg(F.count("*").alias("copies"), F.max("kept").alias("kept")).where("kept")
+    return rows_once(docs, id_col, F.sha2(normal_text(F.col(text_col)), 256), written(chosen, "staying"))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeloom.session import ensure_checkpoint_dir
 
@@ -51,3 +51,18 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
         start = found.end()
     if start < len(text):
         yield text[start:] if start else text
+
+
+def rows_once(docs: DataFrame, id_col: str, key: Column, chosen: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and ``key`` are in ``chosen`` (id, key, copies), each once, with all their columns.
+
+    ``copies`` says how many rows have that id and key; only where it exceeds one are rows compared with each other.
+    """
+    tagged = docs.withColumn("_key", key)
+    chosen = chosen.select(F.col("id").alias("_chosen_id"), F.col("key").alias("_chosen_key"), F.col("copies").alias("_copies"))
+    same = tagged[id_col].eqNullSafe(F.col("_chosen_id")) & (F.col("_key") == F.col("_chosen_key"))
+    found = tagged.join(chosen.where("_copies = 1"), same, "left_semi")
+    repeated = chosen.where("_copies > 1")
+    if not repeated.isEmpty():
+        found = found.unionByName(tagged.join(repeated, same, "left_semi").dropDuplicates([id_col, "_key"]))
+    return found.drop("_key")

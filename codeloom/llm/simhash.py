@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from codeloom.llm.components import components
-from codeloom.llm.shared import chunks, slices, written
+from codeloom.llm.shared import chunks, rows_once, slices, written
 
 WORDS = 4
 DISTANCE = 4
@@ -70,15 +70,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """(id, print): ``print`` holds the 64 bits as a signed long. A null text has no words."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, key, print): ``print`` holds the 64 bits as a signed long, ``key`` is a hash of the text. A null text has no words."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "print"])
+            found = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], names=["id", "key", "print"])
 
-    return narrow.mapInArrow(hashed, T.StructType([narrow.schema["id"], T.StructField("print", T.LongType())]))
+    return narrow.mapInArrow(hashed, T.StructType([*narrow.schema.fields[:2], T.StructField("print", T.LongType())]))
 
 
 # ---- the descent of a pair of subtrees
@@ -230,6 +231,16 @@ def _descended(distance: int):
     return descend
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int) -> DataFrame:
+    """(id, key, print, component_id) of every row."""
+    known = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    distinct = written(known.groupBy("print").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    found = components(links(distinct.select("print"), distinct.count(), distance))
+    rooted = distinct.join(found, distinct["print"] == found["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return known.join(rooted.join(least, "root").select("print", "root", "component_id"), "print")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable).
 
@@ -237,11 +248,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     larger than all others; a component of null ids alone has a null component_id. Rows may repeat. Other columns
     are not looked at.
     """
-    known = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = written(known.groupBy("print").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    found = components(links(distinct.select("print"), distinct.count(), distance))
-    rooted = distinct.join(found, distinct["print"] == found["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("print", "component_id")
-    return known.join(named, "print").select(
+    return _classes(docs, id_col, text_col, words, distance).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """Of each component the row with the smallest id (of several, that with the smallest hash of its text), with all columns."""
+    classes = _classes(docs, id_col, text_col, words, distance).groupBy("root", "id", "key").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "copies")).alias("first")
+    chosen = classes.groupBy("root").agg(first).select("first.id", "first.key", "first.copies")
+    return rows_once(docs, id_col, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), written(chosen, "staying"))
