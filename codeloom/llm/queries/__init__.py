@@ -4,7 +4,7 @@ import importlib
 
 from codeloom.llm.queries.registry import CHECKS, QUERIES
 
-MODULES = ["op01_sharding", "op03_quality", "op04_personal_data", "op05_nearest", "op06_simhash", "op07_exact", "op08_warc", "op09_packing"]
+MODULES = ["op01_sharding", "op02_url_lists", "op03_quality", "op04_personal_data", "op05_nearest", "op06_simhash", "op07_exact", "op08_warc", "op09_packing"]
 for _name in MODULES:
     importlib.import_module(f"codeloom.llm.queries.{_name}")
 
