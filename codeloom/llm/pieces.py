@@ -134,7 +134,7 @@ class Lattice:
         a, b, ids, weights = self._edges(words, ends)
         begins = np.concatenate(([0], ends[:-1]))
         depth = b - np.repeat(begins, np.diff(np.concatenate(([0], ends))))[b - 1]
-        order = np.lexsort((b, depth))
+        order = np.argsort((depth * (int(ends[-1]) + 1) + b) * (self.longest + 1) + b - a)  # by depth, then place, then length
         a, b, ids, weights, depth = a[order], b[order], ids[order], weights[order], depth[order]
         # ahead[p]: the weights of all cuts of a word up to its place p. A word's first place has none before it,
         # and shares its number with the last place of the word before: `ahead` is kept by the piece's last character.
@@ -263,14 +263,14 @@ class Lattice:
 
     def _spelt(self, ids: np.ndarray) -> np.ndarray:
         """``ids`` with characters that have no piece spelt in bytes."""
-        odd = np.flatnonzero(ids >= self.size)
-        if not len(odd):
+        odd = ids >= self.size
+        if not odd.any():
             return ids.astype(np.int32)
-        spelt = [self.byte_ids[list(chr(int(c) - self.size).encode())] for c in ids[odd]]
+        spelt = [chr(c).encode() for c in (ids[odd] - self.size).tolist()]
         lengths = np.ones(len(ids), dtype=np.int64)
-        lengths[odd] = [len(s) for s in spelt]
+        lengths[odd] = np.fromiter(map(len, spelt), dtype=np.int64, count=len(spelt))
         found = np.repeat(ids, lengths)
-        found[np.repeat(np.isin(np.arange(len(ids)), odd), lengths)] = np.concatenate(spelt)
+        found[np.repeat(odd, lengths)] = self.byte_ids[np.frombuffer(b"".join(spelt), dtype=np.uint8)]
         return found.astype(np.int32)
 
     def decoded(self, ids: np.ndarray) -> str:
