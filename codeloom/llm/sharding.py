@@ -38,6 +38,11 @@ def _sampled(keyed: DataFrame, number: int) -> np.ndarray:
     return np.array(sorted(zip(rows["hash"].to_pylist(), rows["rid"].to_pylist())), dtype=np.int64).reshape(-1, 2)
 
 
+def _before(hashes: np.ndarray) -> np.ndarray:
+    """Splitters that stand before all rows of these hashes."""
+    return np.stack((hashes, np.full(len(hashes), np.iinfo(np.int64).min)), axis=1)
+
+
 def _range_of(hashes: np.ndarray, ids: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     """How many splitters are not above each (hash, id)."""
     found = np.searchsorted(splitters[:, 0], hashes, "right")
@@ -74,7 +79,7 @@ def splitters_of(keyed: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]
     rows, size = total[0], total[1] or 0
     ranges = int(min(MOST_RANGES, max(RANGES_PER_SHARD * shards, rows // ROWS_PER_RANGE)))
     sample = _sampled(keyed, SAMPLES * ranges)
-    splitters = np.unique(sample[SAMPLES::SAMPLES], axis=0)
+    splitters = _before(np.unique(sample[SAMPLES::SAMPLES, 0]))
     share = max(1.0, size / ranges)
     while True:
         sizes = _measured(keyed, splitters)
@@ -85,7 +90,10 @@ def splitters_of(keyed: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]
         # As many more splitters as the ranges lack; no more ranges are full than MOST_RANGES.
         lacking = int(np.ceil(full[:, 1] / share).sum())
         more = _sampled(inside.select("hash", "rid", "size"), SAMPLES * lacking)
-        grown = np.unique(np.concatenate((splitters, more[SAMPLES // 2::SAMPLES])), axis=0)
+        # A hash that fills two shares or more is split by row number; others are borders between hashes.
+        hashes, counts = np.unique(more[:, 0], return_counts=True)
+        heavy = np.isin(more[:, 0], hashes[counts >= OVERFULL * SAMPLES])
+        grown = np.unique(np.concatenate((splitters, _before(hashes), more[heavy][SAMPLES // 2::SAMPLES])), axis=0)
         if len(grown) == len(splitters):
             return splitters, sizes
         splitters = grown
@@ -95,7 +103,7 @@ def shards_of(keyed: DataFrame, shards: int) -> DataFrame:
     """``keyed`` (columns hash, rid, size and others) with ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard).
 
     Shards hold sizes as nearly equal as whole records allow: a record goes where the middle of its bytes falls.
-    Records with the same hash go together unless they are more than TOGETHER of a shard. An empty table gives no
+    Records with the same hash go together if they are no more than TOGETHER of a shard. An empty table gives no
     rows; shards stay empty where records are fewer than shards.
     """
     splitters, sizes = splitters_of(keyed, shards)
