@@ -101,6 +101,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     known = written(identities(names).join(rows, "rid"), "identities")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     groups = known.groupBy("blocks", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
+    groups = written(groups, "groups")  # the join then reads two plain shuffles, of which Spark splits a hot group
     return known.join(groups, ["blocks", "name"]).select(
         F.col("id").alias(id_col), F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))

@@ -25,6 +25,8 @@ TOKEN = "{secret|9233A8ECF7C5B09FE5949719B6B82BC439E9329B}" there
 api key : "{secret|4d44c79e8bf7c55759c4958dd60ed83d}" , keep it
 password = "{secret|a1b2c3d4e5f6a7b8c9d0e1f2}" in the file
 secret = '{secret|0f9e8d7c6b5a49382716051423324150}' here
+log {ip|10.0.0.1} {card|4024007112345678} end
+{ip|192.168.7.20} {card|5500005555555559}
 de {email|55@mail4.example.com} et la
 und {email|kontakt@firma.example} oder
 que {ip|97.51.17.173} los {card|9807915762804490} raie
