@@ -44,7 +44,9 @@ class Hashes:
     def __init__(self, dims: int, longest: float, even: bool, joined: int, tables: int = TABLES, probes: int | None = None):
         self.dims, self.longest, self.even, self.joined, self.tables = dims, longest, even, joined, tables
         self.wide = 1 << int(np.ceil(np.log2(max(2, dims + (0 if even else 1)))))
-        self.probes = min(probes or max(2, self.wide // 4 if joined == 1 else self.wide), self.wide ** joined)
+        # Uneven lengths turn near vectors further apart, so twice as many axes are probed.
+        axes = self.wide // 4 if even else self.wide // 2
+        self.probes = min(probes or max(4, axes if joined == 1 else 4 * axes), self.wide ** joined)
         self.signs = np.random.default_rng(SEED).choice(np.array([-1.0, 1.0]), (tables, joined, 3, self.wide))
 
     def _turned(self, x: np.ndarray, table: int, part: int) -> np.ndarray:
