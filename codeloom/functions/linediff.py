@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-MAX_CELLS = 10_000_000  # fixed value: beyond this many cells the diff is approximate
+ROWS_HELD = 64  # rows of the table that are worked out at a time
+ROWS_MARKED = 16  # rows kept while a stretch is cut into smaller ones
 
 
 def _ids(old: list[str], new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -13,29 +14,52 @@ def _ids(old: list[str], new: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(code[:len(old)], dtype=np.int64), np.array(code[len(old):], dtype=np.int64)
 
 
-def _lcs_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``t[i, j]``: length of the longest common subsequence of the first i and first j lines."""
-    t = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, x in enumerate(a, start=1):
-        diagonal = np.where(b == x, t[i - 1, :-1] + 1, 0)
-        t[i, 1:] = np.maximum.accumulate(np.maximum(t[i - 1, 1:], diagonal))
-    return t
+def _next_row(row: np.ndarray, x: int, b: np.ndarray) -> np.ndarray:
+    """The row of the table below ``row``: lengths of the longest common subsequences with one more old line."""
+    new = np.zeros_like(row)
+    new[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
+    return new
 
 
-def _exact(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
-    """Operations (type, old index, new index) in order; on ties the new text moves."""
-    a, b = _ids(old, new)
-    t, i, j, ops = _lcs_table(a, b), len(a), len(b), []
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
+def _walk(a: np.ndarray, b: np.ndarray, top: np.ndarray, low: int, high: int, j: int, ops: list[tuple[str, int, int]]) -> int:
+    """Operations from (high, j) back to row ``low``, last first; ``top`` is that row. Returns the column reached.
+
+    A long stretch is cut at marked rows and worked out from its end, so the rows in memory grow with the logarithm
+    of the old text's lines.
+    """
+    rows = [top[:j + 1]]
+    if high - low > ROWS_HELD:
+        step = -(-(high - low) // ROWS_MARKED)
+        row = rows[0]
+        for i in range(low, high - 1):
+            row = _next_row(row, a[i], b[:j])
+            if (i + 1 - low) % step == 0:
+                rows.append(row)
+        for k in range(len(rows) - 1, -1, -1):
+            j = _walk(a, b, rows.pop(), low + k * step, min(high, low + (k + 1) * step), j, ops)
+        return j
+    for i in range(low, high):
+        rows.append(_next_row(rows[-1], a[i], b[:j]))
+    i = high
+    while i > low:
+        if j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             ops.append(("unchanged", i, j))
-        elif j == 0 or (i and t[i - 1, j] > t[i, j - 1]):
+        elif j == 0 or rows[i - 1 - low][j] > rows[i - low][j - 1]:
             i -= 1
             ops.append(("removed", i, j))
         else:
             j -= 1
             ops.append(("added", i, j))
+    return j
+
+
+def _exact(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
+    """Operations (type, old index, new index) in order; on ties the new text moves."""
+    a, b = _ids(old, new)
+    ops: list[tuple[str, int, int]] = []
+    left = _walk(a, b, np.zeros(len(b) + 1, dtype=np.int32), 0, len(a), len(b), ops)
+    ops.extend(("added", 0, j) for j in range(left - 1, -1, -1))
     return ops[::-1]
 
 
@@ -66,8 +90,11 @@ def _approximate(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
 
 
 def diff(old: str | None, new: str | None, ignore_trailing_blanks: bool = False,
-         max_cells: int = MAX_CELLS) -> list[tuple[str, str, int]]:
-    """Rows (type, content, line number): the number counts new lines, for removed lines old ones."""
+         approximate: bool = False) -> list[tuple[str, str, int]]:
+    """Rows (type, content, line number): the number counts new lines, for removed lines old ones.
+
+    The diff is a shortest one whatever the sizes; only a caller who asks for it gets the approximate walk.
+    """
     if not old and not new:
         return []
     a = old.split("\n") if old else []
@@ -81,7 +108,7 @@ def diff(old: str | None, new: str | None, ignore_trailing_blanks: bool = False,
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     core_a, core_b = a[head:len(a) - tail], b[head:len(b) - tail]
-    make = _approximate if len(core_a) * len(core_b) > max_cells else _exact
+    make = _approximate if approximate else _exact
     out = [("unchanged", b[n], n + 1) for n in range(head)]
     for kind, i, j in make(core_a, core_b):
         out.append((kind, core_a[i], head + i + 1) if kind == "removed" else (kind, core_b[j], head + j + 1))

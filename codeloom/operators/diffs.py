@@ -12,10 +12,11 @@ from codeloom.functions.text import lines
 ROWS_PER_BATCH = 50_000
 
 
-def diff_lines(pairs: DataFrame, ignore_trailing_blanks: bool = False) -> DataFrame:
+def diff_lines(pairs: DataFrame, ignore_trailing_blanks: bool = False, approximate: bool = False) -> DataFrame:
     """``pair_id, pos, type, content, line_num`` of (pair_id, old, new).
 
-    Equal pairs never reach Python; the others are spread by pair, whose texts bound the work of a row.
+    Equal pairs never reach Python; the others are spread by pair, whose texts bound the work of a row. ``approximate``
+    asks for the linear walk in place of a shortest diff.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from codeloom.functions.linediff import diff
@@ -23,7 +24,7 @@ def diff_lines(pairs: DataFrame, ignore_trailing_blanks: bool = False) -> DataFr
         for batch in batches:
             rows: list[tuple] = []
             for pair, old, new in zip(batch["pair_id"], batch["old"], batch["new"]):
-                rows.extend((pair, pos, *line) for pos, line in enumerate(diff(old, new, ignore_trailing_blanks)))
+                rows.extend((pair, pos, *line) for pos, line in enumerate(diff(old, new, ignore_trailing_blanks, approximate)))
                 if len(rows) >= ROWS_PER_BATCH:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []

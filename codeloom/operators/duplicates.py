@@ -49,7 +49,7 @@ def merge_parts(files: DataFrame) -> DataFrame:
     """Strategy ``merge`` in long form: the merged file of a path is its parts in order.
 
     A path may collect any number of contents, so parts are numbered rather than
-    glued into one value; ``merged_text`` glues those that stay below a size bound.
+    glued into one value; ``merged_text`` glues a bounded number at a time.
     """
     parts = numbered(files, ["project_id", "path"], [F.col("file_id")], F.floor(F.col("file_id") / COARSE), "part")
     return parts.select("project_id", "path", "part", "file_id", "content",
@@ -62,14 +62,9 @@ def merge_totals(files: DataFrame) -> DataFrame:
         F.count("*").alias("parts"), F.sum(F.length("content")).alias("size"), F.sum(line_count("content")).alias("lines"))
 
 
-def merged_text(parts: DataFrame, limit: int = 16 * 1024 * 1024, separator: str = "\n\n") -> DataFrame:
-    """Merged contents as one value for paths whose total stays below ``limit`` characters.
-
-    Larger ones remain available, whole, as parts.
-    """
-    small = (parts.groupBy("project_id", "path").agg(F.sum("size").alias("total")).where(F.col("total") <= limit)
-             .drop("total"))
-    return (parts.join(small, ["project_id", "path"], "left_semi").groupBy("project_id", "path")
+def merged_text(parts: DataFrame, per_piece: int = 64, separator: str = "\n\n") -> DataFrame:
+    """Merged contents in numbered pieces of ``per_piece`` parts; a path's pieces, joined likewise, are its whole text."""
+    return (parts.groupBy("project_id", "path", F.floor((F.col("part") - 1) / per_piece).alias("piece"))
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))),
                                           lambda p: p["content"]), separator).alias("content")))
 

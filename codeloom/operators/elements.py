@@ -21,15 +21,23 @@ _STATE = ("struct<stack:array<struct<name:string,raw:string,at:int,wanted:boolea
           "out:array<struct<at:int,until:int,chain:string>>>")
 
 
+def _ended(stack: Column, place: Column, until: Column) -> Column:
+    """The wanted ones among the open tags from ``place`` on, as elements that end at ``until``."""
+    above = F.transform(F.slice(stack, place, F.size(stack)), lambda s, n: F.struct(
+        s["at"].alias("at"), until.alias("until"), F.when(s["wanted"], F.array_join(F.transform(
+            F.slice(stack, F.lit(1), place + n), lambda o: o["raw"]), "")).alias("chain")))
+    return F.filter(above, lambda f: f["chain"].isNotNull())
+
+
 def _closed(acc: Column, e: Column, i: Column) -> Column:
-    """Pop the nearest open tag of that name with everything above it; nothing without one."""
+    """Pop the nearest open tag of that name with everything above it; nothing without one.
+
+    Elements above it were not closed themselves and end there too.
+    """
     stack = acc["stack"]
 
     def pop(place: Column) -> Column:
-        opened = F.get(stack, place - 1)
-        chain = F.array_join(F.transform(F.slice(stack, F.lit(1), place), lambda s: s["raw"]), "")
-        found = F.struct(opened["at"].alias("at"), i.alias("until"), chain.alias("chain"))
-        out = F.when(opened["wanted"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
+        out = F.concat(acc["out"], _ended(stack, place, i))
         kept = F.struct(F.slice(stack, F.lit(1), place - 1).alias("stack"), out.alias("out"))
         return F.when(place == 0, acc).otherwise(kept.cast(_STATE))
 
@@ -39,7 +47,10 @@ def _closed(acc: Column, e: Column, i: Column) -> Column:
 
 
 def elements(pages: DataFrame, wanted: str) -> DataFrame:
-    """``page_id, url, at, chain, tag, text`` of closed elements whose opening tag matches ``wanted``."""
+    """``page_id, url, at, chain, tag, text`` of elements whose opening tag matches ``wanted``.
+
+    An element without end tag ends with the one it stands in, or with the page.
+    """
     rows = computed(pages, tokens=F.regexp_extract_all(H.without_noise("html"), F.lit(r"<[^>]*>|[^<]+"), F.lit(0)))
     marks = F.transform("tokens", lambda t, i: F.struct(
         F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][\w-]*)", 1)).alias("name"), F.startswith(t, F.lit("</")).alias("closes"),
@@ -52,7 +63,7 @@ def elements(pages: DataFrame, wanted: str) -> DataFrame:
         return F.when(e["closes"], _closed(acc, e, e["at"])).otherwise(pushed)
 
     start = F.from_json(F.lit('{"stack":[],"out":[]}'), _STATE)
-    found = F.aggregate(marks, start, step, lambda acc: acc["out"])
+    found = F.aggregate(marks, start, step, lambda acc: F.concat(acc["out"], _ended(acc["stack"], F.lit(1), F.size("tokens") + 1)))
     rows = computed(rows.select("page_id", "url", "tokens"), found=found)
     texts = F.transform("found", lambda f: F.struct(
         f["at"].alias("at"), f["chain"].alias("chain"),
@@ -70,10 +81,10 @@ def _first_rule(selectors: list[str]) -> Column:
 
 
 def generic_blocks(pages: DataFrame) -> DataFrame:
-    """Code-like elements of any page in rule order; texts with the same first 100 characters appear once."""
+    """Code-like elements of any page in rule order; equal texts appear once."""
     e = computed(elements(pages, CODE_LIKE), priority=_first_rule(R.GENERIC_SELECTORS)).where("priority IS NOT NULL")
     e = e.where((F.length("text") >= 15) & F.col("text").rlike(r"\S"))
-    w = Window.partitionBy("page_id", F.substring(strip("text"), 1, 100)).orderBy("priority", "at")  # within one page
+    w = Window.partitionBy("page_id", F.sha2(strip("text"), 256)).orderBy("priority", "at")  # within one page
     first = e.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     order = Window.partitionBy("page_id").orderBy("priority", "at")
     return first.withColumn("code", strip("text")).where(F.length("code") >= 10).withColumn(

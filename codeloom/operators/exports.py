@@ -1,8 +1,7 @@
 """Exports as text tables: documents in ordered parts, assembled file sets, transcripts.
 
 A document of a project is a set of rows ``section, sort_key, text``; in that order they are
-its text. Nothing gathers a project, so one of any size can be exported; ``glued`` builds
-single texts for documents below a size bound.
+its text. Nothing gathers a project, so one of any size can be exported.
 """
 
 from __future__ import annotations
@@ -38,14 +37,6 @@ def _by_path() -> Column:
     return F.concat(F.lower("path"), F.lit("\u0001"), _arrival())
 
 
-def glued(parts: DataFrame, limit: int = 16 * 1024 * 1024) -> DataFrame:
-    """``project_id, path, text`` of documents of at most ``limit`` characters; larger ones stay in parts."""
-    small = parts.groupBy("project_id", "path").agg(F.sum(F.length("text")).alias("n")).where(F.col("n") <= limit)
-    return (parts.join(small.select("project_id", "path"), ["project_id", "path"], "left_semi").groupBy("project_id", "path")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "sort_key", "text"))),
-                                          lambda x: x["text"]), "").alias("text")))
-
-
 def markdown_parts(files: DataFrame) -> DataFrame:
     """One markdown document per project: counts, sorted paths, files in alphabetical order."""
     totals = files.groupBy("project_id").agg(F.count("*").alias("n"), F.sum(line_count("content")).alias("lines"))

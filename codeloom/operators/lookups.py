@@ -132,11 +132,11 @@ def project_with_files(projects: DataFrame, files: DataFrame) -> DataFrame:
     return projects.join(f, F.col("project_id") == F.col("f_project"), "left").drop("f_project")
 
 
-def nested_files(joined: DataFrame, limit: int = 10_000) -> DataFrame:
-    """``files`` array per project for projects of at most ``limit`` files; larger ones stay in long form."""
-    small = joined.groupBy("project_id").agg(F.count("file_id").alias("n_files")).where(F.col("n_files") <= limit)
+def nested_files(joined: DataFrame, per_row: int = 10_000) -> DataFrame:
+    """``files`` array per project and page of ``per_row`` positions, counted from 0; projects without files have page 0."""
+    page = F.coalesce(F.floor(F.col("position") / per_row), F.lit(0)).alias("page")
     entry = F.when(F.col("file_id").isNotNull(), F.struct("position", "file_id", "path"))
-    return joined.join(small.select("project_id"), "project_id", "left_semi").groupBy("project_id").agg(
+    return joined.groupBy("project_id", page).agg(
         F.array_sort(F.collect_list(entry)).alias("files"))
 
 

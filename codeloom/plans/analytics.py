@@ -124,12 +124,12 @@ def projects_with_files(t):
 
 
 @query("j1_nested_files", sql("""
-SELECT project_id, string_agg(CAST(position AS VARCHAR) || ':' || CAST(block_id AS VARCHAR) || ':' || path, '|' ORDER BY position, block_id) AS files
-FROM code_files GROUP BY project_id""", "code_files"))
+SELECT project_id, position // 10000 AS page, string_agg(CAST(position AS VARCHAR) || ':' || CAST(block_id AS VARCHAR) || ':' || path, '|' ORDER BY position, block_id) AS files
+FROM code_files GROUP BY ALL""", "code_files"))
 def nested_files(t):
     p = stored(t).select("project_id").distinct()
     n = L.nested_files(L.project_with_files(p, stored(t)))
-    return n.select("project_id", F.array_join(F.transform("files", lambda f: F.concat_ws(
+    return n.select("project_id", "page", F.array_join(F.transform("files", lambda f: F.concat_ws(
         ":", f["position"].cast("string"), f["file_id"].cast("string"), f["path"])), "|").alias("files"))
 
 

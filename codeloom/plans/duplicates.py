@@ -57,7 +57,8 @@ def merge_totals(t):
 
 
 @query("d3_merge_text", sql("""
-SELECT project_id, path, string_agg(content, chr(10) || chr(10) ORDER BY file_id) AS content FROM files GROUP BY ALL""", "files"))
+SELECT project_id, path, piece, string_agg(content, chr(10) || chr(10) ORDER BY file_id) AS content
+FROM (SELECT *, (row_number() OVER (PARTITION BY project_id, path ORDER BY file_id) - 1) // 64 AS piece FROM files) GROUP BY ALL""", "files"))
 def merge_text(t):
     return D.merged_text(D.merge_parts(V.files(t)))
 

@@ -26,23 +26,33 @@ def _lit(text: str) -> str:
     return q(text)
 
 
-@query("e1_markdown_documents", sql(f"""
-SELECT project_id, 'project.md' AS path, '# ' || project_id || {_lit(chr(10) * 2 + '## Project Statistics' + chr(10) + '- **Files:** ')} || CAST(count(*) AS VARCHAR)
-  || {_lit(chr(10) + '- **Total Lines:** ')} || CAST(CAST(sum(len(string_split(content, {NL}))) AS BIGINT) AS VARCHAR) || {_lit(chr(10) * 2 + '## Project Structure' + chr(10) * 2 + '```text' + chr(10))}
-  || string_agg('  ' || path || {NL}, '' ORDER BY path, file_id) || {_lit('```' + chr(10) * 2 + '## Files' + chr(10) * 2)}
-  || string_agg('### `' || path || '`' || {NL} || {NL} || '```' || language || {NL} || {strip('content')} || {NL} || '```' || {NL} || {NL}, '' ORDER BY lower(path), file_id) AS text
-FROM stored GROUP BY project_id""", "stored"))
+_KEY = "lpad(CAST(file_id AS VARCHAR), 19, '0')"
+
+
+def _part(path: str, section: int, sort_key: str, text: str, source: str) -> str:
+    """One section of a document, a row for each row of ``source``."""
+    return f"SELECT project_id, {q(path)} AS path, CAST({section} AS BIGINT) AS section, {sort_key} AS sort_key, {text} AS text FROM {source}"
+
+
+@query("e1_markdown_documents", sql(" UNION ALL ".join([
+    _part("project.md", 0, "''", f"""'# ' || project_id || {_lit(chr(10) * 2 + '## Project Statistics' + chr(10) + '- **Files:** ')} || CAST(count(*) AS VARCHAR)
+  || {_lit(chr(10) + '- **Total Lines:** ')} || CAST(CAST(sum(len(string_split(content, {NL}))) AS BIGINT) AS VARCHAR) || {_lit(chr(10) * 2 + '## Project Structure' + chr(10) * 2 + '```text' + chr(10))}""",
+          "stored GROUP BY project_id"),
+    _part("project.md", 1, f"path || chr(1) || {_KEY}", f"'  ' || path || {NL}", "stored"),
+    _part("project.md", 2, "''", _lit('```' + chr(10) * 2 + '## Files' + chr(10) * 2), "(SELECT DISTINCT project_id FROM stored)"),
+    _part("project.md", 3, f"lower(path) || chr(1) || {_KEY}", f"'### `' || path || '`' || {NL} || {NL} || '```' || language || {NL} || {strip('content')} || {NL} || '```' || {NL} || {NL}", "stored")]), "stored"))
 def markdown(t):
-    return E.glued(E.markdown_parts(stored(t)))
+    return E.markdown_parts(stored(t))
 
 
-@query("e1_html_documents", sql(f"""
-SELECT project_id, 'project.html' AS path, '<!DOCTYPE html><html><head><title>' || project_id || '</title></head><body><h1>' || project_id || '</h1><h2>Files Index</h2><ul>'
-  || string_agg('<li>' || {escaped('path')} || '</li>', '' ORDER BY file_id) || '</ul>'
-  || string_agg('<div class="file-header"><h3>' || {escaped('path')} || '</h3></div><pre><code>' || {escaped('content')} || '</code></pre>', '' ORDER BY file_id) || '</body></html>' AS text
-FROM stored GROUP BY project_id""", "stored"))
+@query("e1_html_documents", sql(" UNION ALL ".join([
+    _part("project.html", 0, "''", "'<!DOCTYPE html><html><head><title>' || project_id || '</title></head><body><h1>' || project_id || '</h1><h2>Files Index</h2><ul>'", "(SELECT DISTINCT project_id FROM stored)"),
+    _part("project.html", 1, _KEY, f"'<li>' || {escaped('path')} || '</li>'", "stored"),
+    _part("project.html", 2, "''", "'</ul>'", "(SELECT DISTINCT project_id FROM stored)"),
+    _part("project.html", 3, _KEY, f"""'<div class="file-header"><h3>' || {escaped('path')} || '</h3></div><pre><code>' || {escaped('content')} || '</code></pre>'""", "stored"),
+    _part("project.html", 4, "''", "'</body></html>'", "(SELECT DISTINCT project_id FROM stored)")]), "stored"))
 def html(t):
-    return E.glued(E.html_parts(stored(t)))
+    return E.html_parts(stored(t))
 
 
 _titles = list(dict.fromkeys((v[0], tuple(v[1])) for v in S.SETUP.values()))
@@ -52,31 +62,40 @@ _LINE = """array_to_string(list_transform(lasts[1:len(lasts) - 1], lambda b: CAS
   || CASE WHEN lasts[-1] THEN '└── ' ELSE '├── ' END || string_split(node, '/')[-1] || CASE WHEN is_dir THEN '/' ELSE '' END"""
 
 
-@query("e2_readme_documents", sql(f"""
-WITH tree AS (SELECT project_id, string_agg({_LINE} || {NL}, '' ORDER BY keys) AS x FROM drawn GROUP BY project_id),
-l AS (SELECT project_id, language, count(*) AS n, CAST(sum(len(string_split(content, {NL}))) AS BIGINT) AS lines FROM stored GROUP BY ALL),
-lang AS (SELECT project_id, string_agg('- **' || language || '**: ' || CAST(n AS VARCHAR) || ' files, ' || CAST(lines AS VARCHAR) || ' lines' || {NL}, '' ORDER BY language) AS x FROM l GROUP BY project_id),
-note AS (SELECT project_id, string_agg(note, '' ORDER BY i) AS x FROM (SELECT DISTINCT project_id, i, note FROM l JOIN (VALUES {_setup}) v(language, i, note) ON v.language = l.language) GROUP BY project_id),
-tab AS (SELECT project_id, string_agg('| `' || path || '` | ' || language || ' | ' || CAST(len(string_split(content, {NL})) AS VARCHAR) || ' |' || {NL}, '' ORDER BY file_id) AS x FROM stored GROUP BY project_id)
-SELECT tree.project_id, 'README.md' AS path, '# ' || tree.project_id || {_lit(chr(10) * 2 + '## Project Structure' + chr(10) * 2 + '```' + chr(10))} || tree.x
-  || {_lit('```' + chr(10) * 2 + '## Files Overview' + chr(10) * 2 + '| File | Language | Lines |' + chr(10) + '|------|----------|-------|' + chr(10))} || tab.x
-  || {_lit(chr(10) + '## Languages Used' + chr(10) * 2)} || lang.x || {_lit(chr(10) + '## Getting Started' + chr(10) * 2)}
-  || coalesce(note.x, {_lit('Open the project files in your preferred editor and review the code.' + chr(10))}) AS text
-FROM tree JOIN tab ON tab.project_id = tree.project_id JOIN lang ON lang.project_id = tree.project_id LEFT JOIN note ON note.project_id = tree.project_id""", "drawn"))
+_TREE_KEY = "array_to_string(list_transform(keys, lambda k: lpad(CAST(k[1] AS VARCHAR), 19, '0') || k[2]), chr(1))"
+_PROJECTS = "(SELECT DISTINCT project_id FROM stored)"
+_LANGUAGES = f"(SELECT project_id, language, count(*) AS n, CAST(sum(len(string_split(content, {NL}))) AS BIGINT) AS lines FROM stored GROUP BY ALL)"
+_NOTES = f"(SELECT DISTINCT project_id, i, note FROM stored s JOIN (VALUES {_setup}) v(language, i, note) ON v.language = s.language)"
+
+
+@query("e2_readme_documents", sql(" UNION ALL ".join([
+    _part("README.md", 0, "''", f"'# ' || project_id || {_lit(chr(10) * 2 + '## Project Structure' + chr(10) * 2 + '```' + chr(10))}", _PROJECTS),
+    _part("README.md", 1, _TREE_KEY, f"{_LINE} || {NL}", "drawn"),
+    _part("README.md", 2, "''", _lit('```' + chr(10) * 2 + '## Files Overview' + chr(10) * 2 + '| File | Language | Lines |' + chr(10) + '|------|----------|-------|' + chr(10)), _PROJECTS),
+    _part("README.md", 3, _KEY, f"'| `' || path || '` | ' || language || ' | ' || CAST(len(string_split(content, {NL})) AS VARCHAR) || ' |' || {NL}", "stored"),
+    _part("README.md", 4, "''", _lit(chr(10) + '## Languages Used' + chr(10) * 2), _PROJECTS),
+    _part("README.md", 5, "language", f"'- **' || language || '**: ' || CAST(n AS VARCHAR) || ' files, ' || CAST(lines AS VARCHAR) || ' lines' || {NL}", _LANGUAGES),
+    _part("README.md", 6, "''", _lit(chr(10) + '## Getting Started' + chr(10) * 2), _PROJECTS),
+    _part("README.md", 7, "CAST(i AS VARCHAR)", "note", _NOTES),
+    _part("README.md", 7, "''", _lit('Open the project files in your preferred editor and review the code.' + chr(10)),
+          f"{_PROJECTS} WHERE project_id NOT IN (SELECT project_id FROM {_NOTES})")]), "drawn"))
 def readme(t):
-    return E.glued(E.readme_parts(stored(t)))
+    return E.readme_parts(stored(t))
 
 
 _ign = ", ".join(f"({q(k)}, {q(chr(10).join(rows) + chr(10) * 2)})" for k, rows in S.IGNORE_BY_LANGUAGE.items())
 
 
-@query("e3_ignore_lists", sql(f"""
-SELECT p.project_id, '.gitignore' AS path, {_lit(chr(10).join(S.IGNORE_HEAD) + chr(10))} || coalesce(x, {_lit(chr(10).join([*S.IGNORE_GENERIC, '']) + chr(10))})
-  || {_lit(chr(10).join(S.IGNORE_TAIL) + chr(10))} AS text
-FROM (SELECT DISTINCT project_id FROM stored) p LEFT JOIN (SELECT project_id, string_agg(v.text, '' ORDER BY l.language) AS x
-  FROM (SELECT DISTINCT project_id, language FROM stored) l JOIN (VALUES {_ign}) v(language, text) ON v.language = l.language GROUP BY project_id) i ON i.project_id = p.project_id""", "stored"))
+_OWN = f"(SELECT DISTINCT project_id, s.language, v.text AS own FROM stored s JOIN (VALUES {_ign}) v(language, text) ON v.language = s.language)"
+
+
+@query("e3_ignore_lists", sql(" UNION ALL ".join([
+    _part(".gitignore", 0, "''", _lit(chr(10).join(S.IGNORE_HEAD) + chr(10)), _PROJECTS),
+    _part(".gitignore", 1, "language", "own", _OWN),
+    _part(".gitignore", 1, "''", _lit(chr(10).join([*S.IGNORE_GENERIC, '']) + chr(10)), f"{_PROJECTS} WHERE project_id NOT IN (SELECT project_id FROM {_OWN})"),
+    _part(".gitignore", 2, "''", _lit(chr(10).join(S.IGNORE_TAIL) + chr(10)), _PROJECTS)]), "stored"))
 def ignore_lists(t):
-    return E.glued(E.ignore_parts(stored(t)))
+    return E.ignore_parts(stored(t))
 
 
 @query("e5_transcript_lines", """

@@ -104,12 +104,11 @@ _LINE = f"""array_to_string(list_transform(lasts[1:len(lasts) - 1], lambda b: CA
   || CASE WHEN lasts[-1] THEN '└── ' ELSE '├── ' END || {base_name('node')} || CASE WHEN is_dir THEN '/' ELSE '' END"""
 
 
-@query("e4_drawn_trees", sql(f"SELECT project_id, string_agg({_LINE}, chr(10) ORDER BY keys) AS tree FROM drawn GROUP BY project_id", "drawn"))
+@query("e4_drawn_trees", sql(f"""SELECT project_id, node, array_to_string(list_transform(keys, lambda k: lpad(CAST(k[1] AS VARCHAR), 19, '0') || k[2]), chr(1)) AS sort_key,
+  {_LINE} AS line FROM drawn""", "drawn"))
 def drawn_trees(t):
-    """Lines glued per project; a sample project has at most sixty-four files."""
-    d = T.drawn_tree(stored(t))
-    return d.groupBy("project_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("sort_key", "line"))), lambda x: x["line"]), "\n").alias("tree"))
+    """A row for each line; in the order of sort_key they are a project's tree."""
+    return T.drawn_tree(stored(t))
 
 
 @query("a2_scan_summary", sql("""

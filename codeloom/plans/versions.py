@@ -134,13 +134,22 @@ def diff_blanks(t):
 @query("v2_diff_replay", sql("SELECT pair_id, old, new FROM version_diffs", "version_diffs"))
 def diff_replay(t):
     """Old and new text rebuilt from the diff rows alone."""
-    d = D.diff_lines(predecessor_pairs(t))
+    return _rebuilt(D.diff_lines(predecessor_pairs(t)))
 
-    def rebuilt(without: str):
+
+def _rebuilt(d):
+    """Lines of a pair come from one row, so they fit one again."""
+    def text(without: str):
         kept = F.array_sort(F.collect_list(F.when(F.col("type") != without, F.struct("pos", "content"))))
         return F.array_join(F.transform(kept, lambda e: e["content"]), "\n")
 
-    return d.groupBy("pair_id").agg(rebuilt("added").alias("old"), rebuilt("removed").alias("new"))
+    return d.groupBy("pair_id").agg(text("added").alias("old"), text("removed").alias("new"))
+
+
+@query("v3_approximate_diff", sql("SELECT pair_id, old, new FROM version_diffs", "version_diffs"))
+def approximate_diff(t):
+    """Old and new text rebuilt from the rows of the approximate walk."""
+    return _rebuilt(D.diff_lines(predecessor_pairs(t), approximate=True))
 
 
 @query("v2_diff_lines")

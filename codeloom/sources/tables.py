@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this size an input file may sit in a single row group, hence in a single task.
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
+#: Session setting with the number of splits for tables of long texts; without it they are read as they are stored.
+SPLITS = "codeloom.input.splits"
 
 
 class Tables:
@@ -16,6 +14,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.splits = int(spark.conf.get(SPLITS, "0"))
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -24,21 +23,9 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
     def spread(self, name: str, *columns: str) -> DataFrame:
-        """A table whose rows carry long texts, with a task per core even when it is one small row group.
+        """A table whose rows carry long texts, dealt into the number of splits that the session asks for.
 
-        Large inputs already have many splits and are returned as they are.
+        A table stored as one row group would be read by one task; one with many splits needs no setting.
         """
         df = self(name).select(*columns) if columns else self(name)
-        if self._bytes(name) < SMALL_INPUT_BYTES:
-            return df.repartition(self._cores)
-        return df
-
-    @cached_property
-    def _cores(self) -> int:
-        return self.spark.sparkContext.defaultParallelism
-
-    def _bytes(self, name: str) -> int:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.getContentSummary(path).getLength()
+        return df.repartition(self.splits) if self.splits else df

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 QUIET_MS = 500
+FORGET_MS = 24 * 3600 * 1000
 MERGED = ("project_id string, path_key string, event_id bigint, ts timestamp, path string, status string, update_type string, "
           "content string, previous string")
 GATED = "page_id bigint, element_id string, text string, ts timestamp"
@@ -89,37 +90,56 @@ def version_rows(merged: DataFrame) -> DataFrame:
 
 
 class GateProcessor(StatefulProcessor):
-    """Holds a block until its text has been quiet for the given time and is not marked busy."""
+    """Gives a block's text once it has been quiet for the given time and was not marked busy.
 
-    def __init__(self, quiet_ms: int = QUIET_MS):
-        self.quiet_ms = quiet_ms
+    Rows are walked in the order of time; a text that was at rest before the next row came is given then, and else
+    when the watermark passes. So the split into micro-batches does not matter. The text is held until it is given,
+    its hash for ``forget_ms`` more, after which the block is unknown again.
+    """
+
+    def __init__(self, quiet_ms: int = QUIET_MS, forget_ms: int = FORGET_MS):
+        self.quiet_ms, self.forget_ms = quiet_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "text string, hash string, since bigint, busy boolean, done string")
 
+    def _given(self, key, rows: list[tuple[str, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": pd.Series([key[0]] * len(rows), dtype="int64"), "element_id": pd.Series([key[1]] * len(rows), dtype="str"),
+                             "text": pd.Series([t for t, _ in rows], dtype="str"), "ts": pd.to_datetime([s for _, s in rows], unit="ms")})
+
+    def _timer(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        state = self.held.get() if self.held.exists() else None
-        text, digest, since, done = (state[0], state[1], state[2], state[4]) if state else (None, None, 0, None)
-        busy = bool(state[3]) if state else False
+        text, digest, since, busy, done = self.held.get() if self.held.exists() else (None, None, 0, False, None)
+        rested = []
         for row in batch.itertuples(index=False):
+            at = int(pd.Timestamp(row.ts).value // 1_000_000)
+            if digest is not None and not busy and digest != done and at >= since + self.quiet_ms:
+                rested.append((text, since))
+                done = digest
             new = hashlib.sha256((row.text or "").encode()).hexdigest()
             if new != digest or bool(row.busy) != busy:
-                text, digest, busy = row.text, new, bool(row.busy)
-                since = int(pd.Timestamp(row.ts).value // 1_000_000)
-        self.held.update((text, digest, since, busy, done))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if not busy and digest != done:
-            self.handle.registerTimer(max(since + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame({"page_id": pd.Series(dtype="int64"), "element_id": pd.Series(dtype="str"),
-                            "text": pd.Series(dtype="str"), "ts": pd.Series(dtype="datetime64[ns]")})
+                text, digest, busy, since = row.text, new, bool(row.busy), at
+        waiting = digest != done
+        self.held.update((text if waiting else None, digest, since, busy, done))
+        after = since + (self.quiet_ms if waiting and not busy else self.forget_ms)
+        self._timer(max(after, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._given(key, rested)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        text, digest, since, busy, _ = self.held.get()
-        self.held.update((text, digest, since, busy, digest))
-        yield pd.DataFrame({"page_id": [key[0]], "element_id": [key[1]], "text": [text], "ts": [pd.Timestamp(since, unit="ms")]})
+        text, digest, since, busy, done = self.held.get()
+        if busy or digest == done:
+            self.held.clear()
+            yield self._given(key, [])
+            return
+        self.held.update((None, digest, since, busy, digest))
+        self._timer(max(since + self.forget_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._given(key, [(text, since)])
 
     def close(self) -> None:
         pass

@@ -29,7 +29,8 @@ def test_merge_keeps_order_and_sums(spark):
     f = files(spark, *SAME)
     text = {r.path: r.content for r in D.merged_text(D.merge_parts(f)).collect()}
     assert text["app.py"] == "v1\n\nv2\n\nv3"
-    assert D.merged_text(D.merge_parts(f), limit=3).where("path = 'app.py'").count() == 0  # stays in parts
+    pieces = D.merged_text(D.merge_parts(f), per_piece=2).where("path = 'app.py'").orderBy("piece").collect()
+    assert [r.content for r in pieces] == ["v1\n\nv2", "v3"]
     assert D.merge_totals(f).where("path = 'app.py'").first()["size"] == 6
 
 

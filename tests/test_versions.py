@@ -5,6 +5,7 @@ import random
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from codeloom.functions import linediff
 from codeloom.functions.linediff import diff
 from codeloom.operators import diffs as D, lint as L, search as S, versions as V
 
@@ -14,7 +15,7 @@ texts = st.lists(st.sampled_from(["a", "b", "c", "", "d "]), max_size=12).map("\
 @settings(max_examples=300, deadline=None)
 @given(texts, texts, st.booleans())
 def test_replay_rebuilds_both_texts(old, new, approximate):
-    rows = diff(old, new, max_cells=0 if approximate else 10 ** 7)
+    rows = diff(old, new, approximate=approximate)
     if old or new:
         assert "\n".join(c for k, c, _ in rows if k != "added") == old
         assert "\n".join(c for k, c, _ in rows if k != "removed") == new
@@ -37,6 +38,27 @@ def test_exact_diff_is_shortest(old, new):
     assert kept == lcs(old.split("\n"), new.split("\n"))
 
 
+@settings(max_examples=100, deadline=None)
+@given(texts.filter(bool), texts.filter(bool))
+def test_stretches_do_not_change_the_diff(old, new):
+    want = diff(old, new)
+    held, marked = linediff.ROWS_HELD, linediff.ROWS_MARKED
+    try:
+        linediff.ROWS_HELD, linediff.ROWS_MARKED = 1, 2
+        assert diff(old, new) == want
+    finally:
+        linediff.ROWS_HELD, linediff.ROWS_MARKED = held, marked
+
+
+def test_long_texts_are_diffed_exactly():
+    draw = random.Random(1)
+    old = [str(draw.randrange(900)) for _ in range(4000)]
+    new = [x for x in old if draw.random() > 0.2] + ["end"]
+    rows = diff("\n".join(old), "\n".join(new))
+    assert [c for k, c, _ in rows if k != "added"] == old and [c for k, c, _ in rows if k != "removed"] == new
+    assert sum(k == "unchanged" for k, _, _ in rows) == len(new) - 1
+
+
 def test_tie_moves_in_the_new_text_and_numbers_lines():
     assert diff("x\na", "x\nb") == [("unchanged", "x", 1), ("removed", "a", 2), ("added", "b", 2)]
     assert diff("", "a\nb") == [("added", "a", 1), ("added", "b", 2)]
