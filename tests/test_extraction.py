@@ -123,3 +123,20 @@ def test_drawn_tree(spark):
 def test_numeric_entities_and_html_escape_round_trip(spark):
     df = spark.createDataFrame([("<a href=\"x\">it's & done</a>",)], "t string")
     assert df.select(H.decode_entities(H.escape(F.col("t")))).first()[0] == "<a href=\"x\">it's & done</a>"
+
+
+def test_elements_without_end_tags(spark):
+    html = ('<html><body><div class="message user-turn"><p>please write it<div class="message bot-reply"><p>here it is'
+            '<pre><code>def written_out(): pass</body>')
+    got = {(r.author, r.text) for r in E.conversation(pages(spark, html)).collect()}
+    assert {a for a, _ in got} == {"User", "Assistant"}
+    assert [r.code for r in E.site_blocks(pages(spark, html, url="https://claude.ai/x")).collect()] == ["def written_out(): pass"]
+    nested = "<div class='message'>one<section><div class='message'>two</section>after</div>tail"
+    texts = {r.text for r in E.elements(pages(spark, nested), E.CONTAINERS).collect()}
+    assert texts == {"onetwoafter", "two"}
+
+
+def test_generic_blocks_differ_after_the_first_hundred_characters(spark):
+    same = "x = 1\n" * 30
+    html = f"<pre><code>{same}a</code></pre><pre><code>{same}b</code></pre><pre><code>{same}a</code></pre>"
+    assert len(E.generic_blocks(pages(spark, html)).collect()) == 2

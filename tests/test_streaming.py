@@ -76,3 +76,18 @@ def test_snapshot_round_trip_and_project_sink(spark, tmp_path):
     SN.write_projects(files, str(tmp_path / "z"))
     assert spark.read.parquet(str(tmp_path / "z/files")).where("project_id = 'q'").first().path == "b/c.py"
     assert spark.read.parquet(str(tmp_path / "z/manifest")).count() == 2
+
+
+@pytest.mark.parametrize("cuts", [[6], [1, 2, 3, 4, 5, 6], [2, 4, 6]])
+def test_gate_gives_the_same_for_any_split(spark, tmp_path, cuts):
+    rows = [(1, "e", "first", 0.0), (2, "e", "clock", 1200.0), (1, "e", "first", 1800.0), (1, "e", "second", 1801.0), (1, "e", "third", 1801.2), (3, "e", "clock", 9000.0)]
+    start = 0
+    for n, end in enumerate(cuts):
+        df = spark.createDataFrame([(*r, False) for r in rows[start:end]], "page_id bigint, element_id string, text string, s double, busy boolean")
+        df.select("page_id", "element_id", "text", F.col("s").cast("timestamp").alias("ts"), "busy").coalesce(1).write.parquet(str(tmp_path / f"in/part{n}"))
+        stream = (spark.readStream.schema("page_id bigint, element_id string, text string, ts timestamp, busy boolean")
+                  .option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")))
+        SK.run_available(SM.complete_blocks(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+        start = end
+    got = [(r.page_id, r.text) for r in spark.read.schema(SM.GATED).parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [(1, "first"), (1, "third"), (2, "clock")]
