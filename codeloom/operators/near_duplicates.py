@@ -5,8 +5,9 @@ later unclaimed file similar to it. This is computed for whole corpora without
 comparing all pairs and without gathering a group anywhere:
 
 1. Files with the same line set and line count form one node, so copies count once.
-2. A node publishes the prefix of its lines in a global order (frequent lines
-   last). Two similar nodes always share a prefix line: the filter loses nothing.
+2. A node publishes the prefix of its lines in a global order, rare lines first.
+   Two similar nodes always share a prefix line: the filter loses nothing. A line
+   counts apart for each class of sizes, since similar sets are of similar size.
 3. Rounds: the first open node of every prefix line stands for that line. A node
    that is first on all its lines cannot be claimed any more and becomes a seed;
    the nodes on its lines are compared with it. A line holding a third of the
@@ -18,6 +19,8 @@ of a busy line be settled in one round.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -25,8 +28,6 @@ from codeloom.functions.similarity import line_set
 from codeloom.functions.text import line_count
 from codeloom.session import cut_lineage
 
-HEAVY_LINES = 10_000  # at most this many lines can each hold 1/HEAVY_LINES of all line entries
-
 
 def _nodes(files: DataFrame) -> DataFrame:
     """One row per (line set, line count): first file id and the sorted line hashes."""
@@ -47,20 +48,23 @@ def _smallest_set(threshold: float) -> int:
 
 
 def _prefix(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, token) rows: each node's first ``n - ceil(threshold * n) + 1`` lines in the global order.
+    """(node, first_id, token) rows: of each node's first ``n - ceil(threshold * n) + 1`` lines those that others have.
 
-    Lines that hold more than 1/HEAVY_LINES of all entries come last, so that they
-    hardly ever serve as tokens. There can be at most HEAVY_LINES of them, so the list is bounded.
+    Lines stand in the order of (nodes that hold them, hash). Lines of one node only come first and bring no
+    partner, so they are counted and not moved; the others find their number by a join on the line.
     """
-    total = nodes.agg(F.sum(F.size("lines"))).first()[0] or 0
-    heavy = (nodes.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("df"))
-             .where((F.col("df") > 1) & (F.col("df") * HEAVY_LINES > F.lit(total)))
-             .agg(F.collect_list("line").alias("heavy")))
-    ranked = nodes.withColumn("heavy", heavy.scalar())
-    ordered = F.concat(F.array_except("lines", "heavy"), F.array_intersect("lines", "heavy"))
+    entries = nodes.select("node", F.explode("lines").alias("line"))
+    spread = cut_lineage(entries.groupBy("line").agg(F.count("*").alias("holders")).where("holders > 1"))
+    # a node's lines gather again: bounded by the text they come from
+    known = entries.join(spread, "line").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "line"))).alias("shared"))
     n = F.size("lines")
     keep = (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    return ranked.select("node", "first_id", F.explode(F.slice(ordered, F.lit(1), keep)).alias("token"))
+    left = F.greatest(keep - (n - F.size("shared")), F.lit(0))
+    chosen = nodes.join(known, "node").select("node", "first_id", n.alias("n"), F.explode(F.slice("shared", F.lit(1), left)).alias("s"))
+    # Sets whose sizes differ by the threshold at most are of one class or of two that are next to each other.
+    size_class = F.floor(F.log(F.col("n")) / (math.log(1 / threshold) * 1.0001))
+    classes = F.explode(F.array(size_class, size_class + 1)).alias("size_class")
+    return chosen.select("node", "first_id", "s.line", classes).select("node", "first_id", F.xxhash64("line", "size_class").alias("token"))
 
 
 def _similarity(a: Column, b: Column) -> Column:
@@ -69,10 +73,16 @@ def _similarity(a: Column, b: Column) -> Column:
 
 
 def near_duplicate_members(files: DataFrame, threshold: float = 0.85, seeds_per_line: int = 8) -> DataFrame:
-    """``group_id, file_id, similarity``: seed (similarity null) and members of every group of two or more."""
+    """``group_id, file_id, similarity``: seed (similarity null) and members of every group of two or more.
+
+    The threshold is held between 0 and 1; from 1 on there are no groups, since equal sets are no near duplicates.
+    """
     threshold = max(0.0, min(1.0, threshold))
     spark = files.sparkSession
     keyed = _nodes(files)
+    if threshold == 1:
+        none = keyed.limit(0)
+        return _groups(none, _empty(spark, none.withColumnRenamed("file_id", "first_id")))
     if threshold > 0:
         keyed = keyed.where(F.size("lines") >= _smallest_set(threshold))
     keyed = cut_lineage(keyed)

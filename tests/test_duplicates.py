@@ -147,3 +147,19 @@ def test_split_blocks_join(spark):
     df = spark.createDataFrame(rows, "page_id bigint, block_index int, file_name string, language string, content string")
     got = [(r.block_index, r.content, r.parts) for r in M.merge_split_blocks(df).orderBy("block_index").collect()]
     assert got == [(0, "def f(:\n  x = 1;", 2), (2, "import os", 1), (3, "y\nfunction z", 2)]
+
+
+def test_files_that_share_a_line_only_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    step = ND._round
+    monkeypatch.setattr(ND, "_round", lambda *a, **k: rounds.append(1) or step(*a, **k))
+    texts = ["\n".join(["shared by all"] + [f"own {i // 2} {j}" for j in range(12)] + [f"tail {i}"]) for i in range(3000)]
+    got = near(spark, texts)
+    assert len(got) == 3000 and all(f // 2 == g // 2 for g, f, _ in got)
+    assert len(rounds) <= 4
+
+
+def test_threshold_is_clamped_and_low_ones_work(spark):
+    texts = corpus(random.Random(11), 12)
+    assert near(spark, texts, threshold=1.7) == set()
+    assert near(spark, texts, threshold=0.5) == brute_force(texts, 0.5)
