@@ -27,18 +27,32 @@ def without_tags(html: Column | str) -> Column:
     return F.regexp_replace(col(html), TAG, "")
 
 
+def _character(number: Column) -> Column:
+    """The character of a reference's number, as UTF-8 bytes put together."""
+    n = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(F.substring(number, F.lit(2), F.length(number)), 16, 10)).otherwise(number).cast("bigint")
+    n = F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(n)
+
+    def tail(place: int) -> Column:
+        return 0x80 + F.shiftright(n, 6 * place).bitwiseAND(F.lit(0x3F))
+
+    code = (F.when(n < 0x80, n).when(n < 0x800, (0xC0 + F.shiftright(n, 6)) * 0x100 + tail(0))
+            .when(n < 0x10000, ((0xE0 + F.shiftright(n, 12)) * 0x100 + tail(1)) * 0x100 + tail(0))
+            .otherwise((((0xF0 + F.shiftright(n, 18)) * 0x100 + tail(2)) * 0x100 + tail(1)) * 0x100 + tail(0)))
+    return F.decode(F.unhex(F.hex(code)), "UTF-8")
+
+
 def decode_entities(c: Column | str) -> Column:
-    """Six named entities and decimal references; ``&amp;`` last, so nothing is decoded twice."""
+    """Six named entities, decimal and hexadecimal references; ``&amp;`` last, so nothing is decoded twice.
+
+    A number that is no character becomes U+FFFD.
+    """
     out = col(c)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         out = F.replace(out, F.lit(entity), F.lit(char))
 
     def numeric(text: Column) -> Column:
-        numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
-        decoded = F.aggregate(
-            numbers, text,
-            lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")),
-                                     F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint") % 65536), 4, "0")), "UTF-16BE")))
+        numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+        decoded = F.aggregate(numbers, text, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _character(n)))
         return F.replace(F.when(text.contains("&#"), decoded).otherwise(text), F.lit("&amp;"), F.lit("&"))
 
     return F.when(col(c).contains("&"), once(out, numeric)).otherwise(col(c))

@@ -100,6 +100,34 @@ def live_spans(t):
     return _seconds(MO.live_spans(_beats(t)))
 
 
+def _beat_stream(t):
+    t.spark.conf.set(PROVIDER, ROCKS)
+    e = SK.read_stream(t.spark, t.folder, "events.parquet")
+    return e.select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("type"))
+
+
+@query("st8_live_spans_stream", "SELECT * FROM (" + _session("6 SECOND", "source_id").format(n="beats") + """)
+WHERE CAST(ended AS TIMESTAMP) + INTERVAL 1 SECOND < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def live_spans_stream(t):
+    """Spans that the watermark has passed, given by a stream; the last seconds before it are left to the next run."""
+    spans = SK.run_to_table(MO.live_spans(_beat_stream(t)))
+    last = t("events").select(F.max(F.col("ts").cast("timestamp")).alias("newest"))
+    before = (F.date_trunc("second", "ended") + F.expr("INTERVAL 1 SECOND")) < F.col("newest") - F.expr("INTERVAL 10 MINUTES")
+    return _seconds(spans.crossJoin(F.broadcast(last)).where(before).drop("newest"))  # one row of one value
+
+
+@query("st7_latest_by_source_stream", "SELECT user_id AS source_id, arg_max(event_id, (ts, event_id)) AS last_event, count(*) AS updates FROM events GROUP BY 1")
+def latest_by_source_stream(t):
+    return SK.updates_to_table(MO.latest_by_source(_beat_stream(t)), ["source_id"]).select("source_id", "last_event", "updates")
+
+
+@query("st10_live_counters_stream", """
+SELECT count(*) AS detected, count(*) FILTER (event_type = 'signup') AS added, count(*) FILTER (event_type = 'click') AS updated, count(*) FILTER (event_type = 'error') AS conflicts FROM events""")
+def live_counters_stream(t):
+    named = F.create_map(*[F.lit(x) for x in ("signup", "file_added", "click", "file_updated", "error", "conflict")])
+    return SK.updates_to_table(MO.live_counters(_beat_stream(t).withColumn("type", F.element_at(named, F.col("type")))), [], "complete")
+
+
 @query("st8_active_sources", """
 SELECT user_id AS source_id, TIMESTAMP '2024-01-30 12:00:00' - max(ts) <= INTERVAL 6 SECOND AS is_alive FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1""")
 def active_sources(t):

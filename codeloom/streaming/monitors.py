@@ -14,8 +14,13 @@ def latest_by_source(updates: DataFrame) -> DataFrame:
         F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"), F.max("ts").alias("last_at"), F.count("*").alias("updates"))
 
 
-def live_spans(heartbeats: DataFrame, gap: str = ALIVE_GAP) -> DataFrame:
-    """Spans in which a source kept sending; it counts as dead from ``ended`` on."""
+def live_spans(heartbeats: DataFrame, gap: str = ALIVE_GAP, watermark: str = "10 minutes") -> DataFrame:
+    """Spans in which a source kept sending; it counts as dead from ``ended`` on.
+
+    A stream gives a span once the watermark has passed its end; later beats of it are dropped.
+    """
+    if heartbeats.isStreaming:
+        heartbeats = heartbeats.withWatermark("ts", watermark)
     return (heartbeats.groupBy("source_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("beats"))
             .select("source_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "beats"))
 

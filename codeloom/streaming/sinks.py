@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.session import ensure_checkpoint_dir
 from codeloom.streaming import merge as M
@@ -36,6 +36,25 @@ def append_once(df: DataFrame, batch_id: int, path: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def run_updates(stream: DataFrame, keys: list[str], path: str, checkpoint: str, mode: str = "update") -> DataFrame:
+    """Run an aggregating stream to its end and give the newest row of each key.
+
+    Every batch is appended with its number, so a batch that is run again replaces itself; the newest row is the one
+    of the highest number. Without keys there is one row.
+    """
+    (stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: append_once(df, n, path))
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    rows = stream.sparkSession.read.schema(f"{stream.schema.toDDL()}, batch_id bigint").parquet(path)
+    newest = F.max_by(F.struct(*stream.columns), "batch_id").alias("r")
+    return rows.groupBy(*keys).agg(newest).select("r.*")
+
+
+def updates_to_table(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """``run_updates`` into fresh folders beside the reliable checkpoints."""
+    base = f"{ensure_checkpoint_dir(stream.sparkSession)}/stream-{uuid.uuid4()}"
+    return run_updates(stream, keys, f"{base}/out", f"{base}/state", mode)
+
+
 def start_change_queue(changes: DataFrame, path: str, checkpoint: str, **trigger):
     """Batched append of queued changes; failed batches are tried again from the checkpoint."""
     return (changes.writeStream.foreachBatch(lambda df, n: append_once(df, n, path))

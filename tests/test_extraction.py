@@ -140,3 +140,8 @@ def test_generic_blocks_differ_after_the_first_hundred_characters(spark):
     same = "x = 1\n" * 30
     html = f"<pre><code>{same}a</code></pre><pre><code>{same}b</code></pre><pre><code>{same}a</code></pre>"
     assert len(E.generic_blocks(pages(spark, html)).collect()) == 2
+
+
+def test_numeric_references_of_all_planes(spark):
+    df = spark.createDataFrame([("a&#65;&#233;&#8364;&#128512;&#x1F600;&#X41;&#x20ac;&#0;&#55296;&#1114112;&#9;",)], "t string")
+    assert df.select(H.decode_entities(F.col("t"))).first()[0] == "aAé€😀😀A€���\t"
