@@ -48,11 +48,20 @@ def intervals(log: DataFrame) -> DataFrame:
     one has a null end. Rows without list, entry or time take no part.
     """
     clean = log.where(F.col("list").isNotNull() & F.col("entry").isNotNull() & F.col("at").isNotNull())
-    moments = clean.groupBy("list", "entry", "at").agg(F.min("verdict").alias("verdict"))
-    in_time = Window.partitionBy("list", "entry").orderBy("at")
-    first = F.row_number().over(in_time) == 1
-    changed = moments.withColumn("new", first | ~F.lag("verdict").over(in_time).eqNullSafe(F.col("verdict"))).where("new")
-    ends = changed.withColumn("valid_to", F.lead("at").over(in_time))
+    moments = clean.groupBy("list", "entry", F.date_trunc("day", "at").alias("day"), "at").agg(F.min("verdict").alias("verdict"))
+    moments = written(moments, "list-moments")
+    # An entry with many changes is sorted day by day; only one row a day meets those of the entry's other days.
+    day, key = ["list", "entry", "day"], Window.partitionBy("list", "entry").orderBy("day")
+    in_day = Window.partitionBy(*day).orderBy("at")
+    state = F.struct("verdict")
+    lasts = moments.groupBy(*day).agg(F.max_by(state, "at").alias("last"))
+    lasts = written(lasts.select(*day, F.lag("last").over(key).alias("before_day")), "list-days")
+    before = F.coalesce(F.lag(state).over(in_day), F.col("before_day"))
+    seen = moments.join(lasts, day).withColumn("before", before)
+    changed = written(seen.where(F.col("before").isNull() | ~F.col("before.verdict").eqNullSafe(F.col("verdict"))).select(*day, "at", "verdict"), "list-changes")
+    firsts = changed.groupBy(*day).agg(F.min("at").alias("first"))
+    firsts = written(firsts.select(*day, F.lead("first").over(key).alias("next_day")), "list-days")
+    ends = changed.join(firsts, day).withColumn("valid_to", F.coalesce(F.lead("at").over(in_day), F.col("next_day")))
     return ends.where("verdict is not null").select("list", "entry", "verdict", F.col("at").alias("valid_from"), "valid_to")
 
 
