@@ -4,6 +4,9 @@ A vector is turned by fast Hadamard pseudo-rotations (signs, transform, three ti
 signed axis. Several such tables are kept; a query also probes the axes that come next. Candidates of a bucket are
 reranked exactly, block by block, and only the best of each query leave a task.
 
+A table is one hash, whatever the number of rows: joined hashes would make smaller buckets, but meet a neighbour that is
+hardly nearer than a random row far less often. Buckets grow with the rows, and are dealt into more blocks.
+
 Largest inner product is searched on vectors of any length: where lengths differ, one more component makes all rows
 equally long without changing any product with a query.
 """
@@ -22,8 +25,6 @@ TABLES = 8
 #: Rows of a bucket that are compared with queries at a time; a larger bucket is dealt into several blocks.
 BLOCK = 1024
 QUERIES_AT_ONCE = 512
-#: Hashes are joined to one when a bucket would hold more rows than this.
-ROWS_A_BUCKET = 256
 SEED = 20
 
 
@@ -235,9 +236,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     if not number:
         return asking.select("query_id", F.lit(0).alias("rank"), F.col("class").alias("vec_id"), F.lit(0.0).alias("score"))
     even = most - least <= 1e-6 * most
-    wide = 2 << int(np.ceil(np.log2(max(2, dims + (0 if even else 1)))))
-    joined = max(1, int(np.log(max(2.0, number / ROWS_A_BUCKET)) / np.log(wide)))
-    hashes = Hashes(dims, most, bool(even), joined, tables, probes)
+    hashes = Hashes(dims, most, bool(even), 1, tables, probes)
     asked = classes.join(asking.select("class").distinct(), "class", "left_semi")
     index = _hashed(classes, hashes, False).withColumn("bucket", F.explode("buckets")).drop("buckets")
     probed = _hashed(asked, hashes, True).withColumn("bucket", F.explode("buckets")).drop("buckets")

@@ -74,3 +74,14 @@ def test_joined_hashes(spark):
     assert (unit.probed(u).reshape(300, 3, -1)[:, :, 0] == unit.buckets(u)).all()
     h = ann.hadamard(np.eye(8))
     assert np.allclose(h @ h.T, np.eye(8)) and probes.shape[1] == 3 * hashes.probes
+
+
+def test_recall_does_not_fall_with_the_number_of_rows(spark, monkeypatch):
+    # So small a bound on a bucket stands for a table of many rows, from which on hashes were joined.
+    monkeypatch.setattr(ann, "ROWS_A_BUCKET", 0.05, raising=False)
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(2000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
+    found, want = _found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0)), _brute(rows, 20)
+    hits = sum(len({r[1] for r in found[q]} & {w[0] for w in want[q]}) for q in want)
+    assert hits >= 0.9 * 20 * len(want)
