@@ -115,31 +115,37 @@ def vector_classes(rows: DataFrame, id_col: str, vector_col: str, keep: int) ->
     """Equal vectors as one: (class, ids, least, v) with the ``keep`` smallest ids, and (id, v) of all rows that take part.
 
     Rows with equal vectors have equal products with any query, and ties go to smaller ids, so larger ones cannot be
-    among the best. Only vectors as long as the longest take part. Rows that repeat id and vector count once.
+    among the best. Rows that repeat id and vector count once.
     """
     vectors = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + 0.0).alias("v"))
     vectors = vectors.where(F.col("id").isNotNull() & usable(F.col("v")))
-    dims = vectors.agg(F.max(F.size("v"))).first()[0] or 0
-    vectors = vectors.where(F.size("v") == dims)
     place = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
     few = vectors.withColumn("place", place).where(F.col("place") <= keep)
     ids = F.sort_array(F.collect_set("id")).alias("ids")
     return few.groupBy("v").agg(ids).select(F.monotonically_increasing_id().alias("class"), "ids", F.col("ids")[0].alias("least"), "v"), vectors
 
 
-def _hashed(classes: DataFrame, hashes: Hashes, query: bool) -> DataFrame:
-    """(class, least, v as bytes, buckets)."""
+def _hashed(classes: DataFrame, tables: int, probes: int | None, query: bool) -> DataFrame:
+    """(class, least, v as bytes, buckets). Vectors with different numbers of components have no bucket in common."""
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, Hashes] = {}
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                found = np.concatenate([(hashes.probed if query else hashes.buckets)(x[i:i + 1024]) for i in range(0, len(x), 1024)])
+            every = batch.column(3).to_numpy()
+            for dims in np.unique(every).tolist():
+                some = batch.filter(pa.array(every == dims))
+                if dims not in known:
+                    longest, shortest = some.column(4)[0].as_py(), some.column(5)[0].as_py()
+                    known[dims] = Hashes(dims, longest, longest - shortest <= 1e-6 * longest, 1, tables, probes)
+                x = some.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                buckets = known[dims].probed if query else known[dims].buckets
+                found = np.concatenate([buckets(x[i:i + 1024]) for i in range(0, len(x), 1024)]) + (dims << 32)
                 offsets = pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary()),
+                    [some.column(0), some.column(1), pa.array([r.tobytes() for r in x], pa.binary()),
                      pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["class", "least", "v", "buckets"])
 
-    return classes.select("class", "least", "v").mapInArrow(turned, "class long, least long, v binary, buckets array<long>")
+    return (classes.select("class", "least", "v", "dims", "longest", "shortest")
+            .mapInArrow(turned, "class long, least long, v binary, buckets array<long>"))
 
 
 def _best(found: list[np.ndarray], keep: int) -> np.ndarray:
@@ -225,29 +231,31 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found of each row for which ``queries`` holds.
 
     Nearest means largest inner product in double precision; ties go to the smaller id; a row is no candidate of
-    itself. Vectors that are null, zero, not finite or shorter than the longest take no part. A query for which the
-    tables give fewer than ``k`` rows although there are more is compared with all rows, in blocks.
+    itself. Vectors that are null, zero or not finite take no part. Only vectors with equally many components have a
+    product, so each number of components is searched apart. A query for which the tables give fewer than ``k`` rows
+    although there are more is compared with all rows, in blocks.
     """
     grouped, vectors = vector_classes(rows, id_col, vector_col, k + 1)
-    classes = written(grouped, "vector-classes")
+    stored = written(grouped, "vector-classes")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    number, most, least, dims = classes.agg(F.count("*"), F.max(length), F.min(length), F.max(F.size("v"))).first()
-    asking = written(vectors.where(queries).select(F.col("id").alias("query_id"), "v").distinct().join(classes.select("v", "class"), "v").select("query_id", "class"), "queries")
-    if not number:
+    lengths = written(stored.groupBy(F.size("v").alias("dims")).agg(F.max(length).alias("longest"), F.min(length).alias("shortest"),
+                                                                    F.sum(F.size("ids")).alias("held")), "vector-lengths")
+    # One row for each number of components.
+    classes = stored.withColumn("dims", F.size("v")).join(F.broadcast(lengths), "dims")
+    asking = written(vectors.where(queries).select(F.col("id").alias("query_id"), "v").distinct().join(stored.select("v", "class"), "v").select("query_id", "class"), "queries")
+    if lengths.isEmpty():
         return asking.select("query_id", F.lit(0).alias("rank"), F.col("class").alias("vec_id"), F.lit(0.0).alias("score"))
-    even = most - least <= 1e-6 * most
-    hashes = Hashes(dims, most, bool(even), 1, tables, probes)
     asked = classes.join(asking.select("class").distinct(), "class", "left_semi")
-    index = _hashed(classes, hashes, False).withColumn("bucket", F.explode("buckets")).drop("buckets")
-    probed = _hashed(asked, hashes, True).withColumn("bucket", F.explode("buckets")).drop("buckets")
-    found = _ranked(_matched(index, probed, k + 1, block), classes, k + 1)
-    held = classes.agg(F.sum(F.size("ids"))).first()[0]
+    index = _hashed(classes, tables, probes, False).withColumn("bucket", F.explode("buckets")).drop("buckets")
+    probed = _hashed(asked, tables, probes, True).withColumn("bucket", F.explode("buckets")).drop("buckets")
+    found = _ranked(_matched(index, probed, k + 1, block), stored, k + 1)
     found = written(found, "nearest")
-    wanting = asked.join(found.where(F.size("best") >= min(k + 1, held)).select("class"), "class", "left_anti")
+    given = found.select("class", F.size("best").alias("given"))
+    wanting = asked.join(given, "class", "left").where(F.coalesce("given", F.lit(0)) < F.least(F.lit(k + 1), F.col("held")))
     if not wanting.isEmpty():
-        one = F.lit(0).cast("long").alias("bucket")
-        plain = [_hashed(x, hashes, False).select(one, "class", "least", "v") for x in (classes, wanting)]
-        again = _ranked(_matched(plain[0], plain[1], k + 1, block), classes, k + 1)
+        alike = F.shiftright(F.col("buckets")[0], 32).alias("bucket")  # the number of components
+        plain = [_hashed(x, tables, probes, False).select(alike, "class", "least", "v") for x in (classes, wanting)]
+        again = _ranked(_matched(plain[0], plain[1], k + 1, block), stored, k + 1)
         found = found.join(again.select("class"), "class", "left_anti").unionByName(again)
     best = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     return (asking.join(found, "class").select("query_id", F.posexplode(best).alias("rank", "found"))

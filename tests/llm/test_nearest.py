@@ -85,3 +85,18 @@ def test_recall_does_not_fall_with_the_number_of_rows(spark, monkeypatch):
     found, want = _found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0)), _brute(rows, 20)
     hits = sum(len({r[1] for r in found[q]} & {w[0] for w in want[q]}) for q in want)
     assert hits >= 0.9 * 20 * len(want)
+
+
+def test_a_longer_stray_row_leaves_out_itself_alone(spark):
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.normal(size=6).tolist()) for i in range(60)]
+    short = [(i, draw.normal(size=3).tolist()) for i in range(200, 230)]
+    stray = [(400, draw.normal(size=7).tolist())]
+    frame = spark.createDataFrame(rows + short + stray, "vec_id long, embedding array<double>")
+    found = _found(ann.nearest(frame, F.col("id") % 20 == 0))
+    for group in (rows, short):
+        want = _brute(group, 20)
+        assert want and set(want) <= set(found)
+        assert sum(len({r[1] for r in found[q]} & {w[0] for w in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+        assert all({r[1] for r in found[q]} <= {i for i, _ in group} for q in want)
+    assert 400 not in found
