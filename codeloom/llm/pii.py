@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
 The model reads windows around digits and ``@`` signs, without which none of its kinds can be. A window is a row of
-words and marks; each is known by its shape and its neighbours' shapes. Windows of equal length are decoded
-together, by Viterbi's recurrence on arrays.
+words and marks; each is known by its shape and its neighbours' shapes. Windows are decoded whole, those of similar
+length together, by Viterbi's recurrence on arrays.
 """
 
 from __future__ import annotations
@@ -80,9 +80,11 @@ def base_spans(text: str) -> list[Span]:
 _DIGIT = re.compile("[0-9]")
 _HINT = re.compile("[0-9@]+")
 _WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
-#: Code points read on either side of a hint, and words in a window at most (a longer one is cut there).
+#: Code points read on either side of a hint, and on to the end of the word there.
 REACH = 48
-LONGEST = 256
+#: Words, with those that fill up shorter windows, that are decoded together, unless one window has more; scores are worked out for as many.
+WORDS_AT_ONCE = 1 << 16
+_REST = re.compile(r"[^\W_]*")
 _HEX = frozenset("0123456789abcdefABCDEF")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SHAPES = ["edge", "a", "A", "Aa", "aA", "other", "mark", "d1", "d2", "d3", "d4", "d5", "d9", "d13", "d20", "hex1", "hex16", "hex24",
@@ -109,12 +111,20 @@ def shape(word: str) -> int:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges of ``text`` around its hints; ranges that meet are one. A range does not cross a line end outside hints."""
+    """Ranges of ``text`` around its hints, from word border to word border; ranges that meet are one.
+
+    A range does not cross a line end outside hints.
+    """
     begin = stop = None
     for hint in _HINT.finditer(text):
         a = max(text.rfind("\n", max(0, hint.start() - REACH), hint.start()) + 1, hint.start() - REACH, 0)
         line = text.find("\n", hint.end(), hint.end() + REACH)
         b = min(line if line >= 0 else len(text), hint.end() + REACH)
+        # What the range before has is not looked at again, so that a long word with many hints takes linear time.
+        while a > (stop or 0) and text[a].isalnum() and text[a - 1].isalnum():
+            a -= 1
+        if b > (stop or 0) and b < len(text) and text[b - 1].isalnum():
+            b = _REST.match(text, b).end()
         if begin is None:
             begin, stop = a, b
         elif a <= stop:
@@ -127,12 +137,11 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
 
 
 def rows_of_words(text: str) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
-    """Shapes and ranges of the words of each window."""
+    """Shapes and ranges of the words of each window, the whole window in one row."""
     for a, b in windows(text):
         places = [m.span() for m in _WORD.finditer(text, a, b)]
-        for start in range(0, len(places), LONGEST):
-            part = places[start:start + LONGEST]
-            yield [shape(text[x:y]) for x, y in part], part
+        if places:
+            yield [shape(text[x:y]) for x, y in places], places
 
 
 # ---- the model
@@ -180,20 +189,38 @@ _BARRED = _allowed()
 _FIRST = np.array([-1e4 if s and s % 2 == 0 else 0.0 for s in range(STATES)])
 
 
-def viterbi(model: Model, shapes: np.ndarray) -> np.ndarray:
-    """The best states of each row; all rows of ``shapes`` have the same number of words."""
-    scores, step = _scores(model, *_features(shapes)), model.step + _BARRED
-    rows, length, _ = scores.shape
+def viterbi(model: Model, shapes: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The best states of each row; rows are padded with 0 to equal length, and the longer ones come first.
+
+    Scores are worked out for some columns at a time, so a long row keeps one byte a word and state.
+    """
+    rows, length = shapes.shape
+    lengths = np.full(rows, length) if lengths is None else lengths
+    # Rows that have a word at each place: the first ones.
+    live = np.searchsorted(-lengths, -np.arange(length), side="left").tolist()
+    wide = np.zeros((rows, length + 4), dtype=np.int64)
+    wide[:, 2:-2] = shapes
+    step = model.step + _BARRED
     back = np.zeros((length, rows, STATES), dtype=np.int8)
-    best = scores[:, 0] + _FIRST
-    for t in range(1, length):
-        every = best[:, :, None] + step[None]
-        back[t] = every.argmax(axis=1)
-        best = every.max(axis=1) + scores[:, t]
+    best = np.empty((rows, STATES))
+    columns = max(1, WORDS_AT_ONCE // rows)
+    for start in range(0, length, columns):
+        some = wide[:live[start], start:start + columns + 4]
+        single, double = _features(some)
+        scores = _scores(model, single[:, :, 2:-2], double[:, :, 2:-2])
+        for t in range(start, min(start + columns, length)):
+            n = live[t]
+            if t == 0:
+                best[:] = scores[:, 0] + _FIRST
+                continue
+            every = best[:n, :, None] + step[None]
+            back[t, :n] = every.argmax(axis=1)
+            best[:n] = every.max(axis=1) + scores[:n, t - start]
     states = np.zeros((rows, length), dtype=np.int64)
-    states[:, -1] = best.argmax(axis=1)
+    states[np.arange(rows), lengths - 1] = best.argmax(axis=1)
     for t in range(length - 1, 0, -1):
-        states[:, t - 1] = back[t, np.arange(rows), states[:, t]]
+        n = live[t]
+        states[:n, t - 1] = back[t, np.arange(n), states[:n, t]]
     return states
 
 
@@ -266,26 +293,31 @@ def train(examples: str = EXAMPLES, rounds: int = 120, rate: float = 0.3, shrink
 
 def added_spans(model: Model, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans that the model finds in each text and that meet none of the base spans, by kind and start."""
-    waiting: dict[int, list[tuple[int, list[int], list[tuple[int, int]]]]] = {}
-    for i, text in enumerate(texts):
-        for shapes, places in rows_of_words(text):
-            if shapes:
-                waiting.setdefault(len(shapes), []).append((i, shapes, places))
+    waiting = [(i, shapes, places) for i, text in enumerate(texts) for shapes, places in rows_of_words(text)]
+    waiting.sort(key=lambda row: -len(row[1]))
     found: list[list[Span]] = [[] for _ in texts]
-    for rows in waiting.values():
-        for start in range(0, len(rows), 512):
-            part = rows[start:start + 512]
-            for (i, _, places), states in zip(part, viterbi(model, np.array([s for _, s, _ in part]))):
-                if not states.any():
-                    continue
-                spans: list[list[int]] = []
-                for state, (a, b) in zip(states.tolist(), places):
-                    if state % 2:
-                        spans.append([state // 2, a, b])
-                    elif state:
-                        spans[-1][2] = b
-                found[i] += [(ADDED[k], a, b) for k, a, b in spans
-                             if _HINT.search(texts[i], a, b) and not any(a < y and x < b for _, x, y in base[i])]
+    start = 0
+    while start < len(waiting):
+        longest = len(waiting[start][1])
+        part = waiting[start:start + min(512, max(1, WORDS_AT_ONCE // longest))]
+        # A row far shorter than the first waits, so that little is filled up.
+        part = [row for row in part if 2 * len(row[1]) > longest]
+        start += len(part)
+        lengths = np.array([len(s) for _, s, _ in part])
+        shapes = np.zeros((len(part), longest), dtype=np.int64)
+        for row, (_, s, _) in zip(shapes, part):
+            row[:len(s)] = s
+        for (i, _, places), states in zip(part, viterbi(model, shapes, lengths)):
+            if not states.any():
+                continue
+            spans: list[list[int]] = []
+            for state, (a, b) in zip(states.tolist(), places):
+                if state % 2:
+                    spans.append([state // 2, a, b])
+                elif state:
+                    spans[-1][2] = b
+            found[i] += [(ADDED[k], a, b) for k, a, b in spans
+                         if _HINT.search(texts[i], a, b) and not any(a < y and x < b for _, x, y in base[i])]
     return [sorted(s, key=lambda x: (ADDED.index(x[0]), x[1])) for s in found]
 
 

@@ -133,3 +133,28 @@ def test_odd_rows(spark, odd_docs, no_docs, model):
     assert new.where("text is null").count() == odd_docs.where("text is null").count()
     assert new.where("doc_id = 12").first()["text"] == "[EMAIL] [PHONE] [IP] [CARD]"
     assert pii.personal_data(no_docs, model).count() == 0 and pii.without_personal_data(no_docs, model).count() == 0
+
+
+def test_spans_do_not_depend_on_their_place(model):
+    phone, card = "(017) 555-7713", "4556 7375 8689 9854"
+
+    def added(text):
+        return [(k, text[a:b]) for k, a, b in pii.added_spans(model, [text], [pii.base_spans(text)])[0]]
+
+    one = added(f"12 ab 34 cd call {card} or {phone} now")
+    assert one
+    for before in range(236, 262):
+        text = "7 " * before + f"12 ab 34 cd call {card} or {phone} now"
+        assert added(text)[-len(one):] == one
+    token = "q" * 60 + "7" + "w" * 60
+    assert [text[a:b] for text in [f"see {token}."] for row, places in pii.rows_of_words(text) for a, b in places if b - a > 9] == [token]
+
+
+def test_windows_decoded_together_equal_each_alone(model, monkeypatch):
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(["12", "+1 (017) ", "ab", " ", "-", "@", "4556 7375 ", "Xy9", "\n"]) for _ in range(n)) for n in [3, 40, 90, 700, 5, 700, 0, 300, 41]]
+    base = [pii.base_spans(t) for t in texts]
+    together = pii.added_spans(model, texts, base)
+    assert together == [pii.added_spans(model, [t], [b])[0] for t, b in zip(texts, base)]
+    monkeypatch.setattr(pii, "WORDS_AT_ONCE", 7)
+    assert pii.added_spans(model, texts, base) == together
