@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.llm.shared import written
 
-#: Segments of a path that an entry can name.
+#: Segments of a path that make keys, where the lists are not known.
 SEGMENTS = 4
 #: Captures of a key that are sorted together with its list; a key with more is dealt out, with its list each time.
 TOGETHER = 512
@@ -29,13 +29,16 @@ def path_of(url: Column) -> Column:
     return F.array_join(F.filter(F.split(path, "/"), lambda p: p != ""), "/")
 
 
-def keys_of(url: Column) -> Column:
-    """What a list entry may be for a URL to fall under it: host, domains above (``*.domain``), host and path prefixes."""
+def keys_of(url: Column, segments: int = SEGMENTS) -> Column:
+    """What a list entry may be for a URL to fall under it: host, domains above (``*.domain``), host and path prefixes.
+
+    Prefixes have ``segments`` segments at most: as many as the longest entry has.
+    """
     host = host_of(url)
     labels = F.split(host, r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     parts = F.split(path_of(url), "/")
-    deep = F.when(path_of(url) == "", F.lit(0)).otherwise(F.least(F.size(parts), F.lit(SEGMENTS)))
+    deep = F.when(path_of(url) == "", F.lit(0)).otherwise(F.least(F.size(parts), F.lit(segments)))
     below = F.when(deep > 0, F.transform(F.sequence(F.lit(1), F.greatest(deep, F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
     return F.when(host.isNotNull(), F.array_distinct(F.concat(F.array(host), above, F.coalesce(below, F.array().cast("array<string>")))))
 
@@ -69,13 +72,13 @@ def _active(captures: DataFrame, spans: DataFrame) -> DataFrame:
     """(rid, list, entry, verdict, valid_from, valid_to): for each key of a capture and each list the interval at its time.
 
     An as-of join: captures and interval starts of a key are sorted by time, and each capture takes the last start
-    of each list. A key with many captures is dealt into parts, each of which gets the key's intervals.
+    of each list. A key with many captures is dealt into parts, each of which gets the key's intervals. ``spans`` is read
+    several times, so it is a written table.
     """
     keyed = captures.where(F.col("at").isNotNull()).select("rid", "at", F.explode("keys").alias("entry"))
-    listed = written(spans, "list-intervals")
-    keyed = written(keyed.join(listed.select("entry").distinct(), "entry", "left_semi"), "listed-captures")
+    keyed = written(keyed.join(spans.select("entry").distinct(), "entry", "left_semi"), "listed-captures")
     sizes = written(keyed.groupBy("entry").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")), "listed-keys")
-    lists = listed.join(sizes, "entry").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lists = spans.join(sizes, "entry").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     starts = lists.select("entry", "part", F.col("valid_from").alias("at"), F.lit(0).alias("capture"), F.lit(None).cast("long").alias("rid"),
                           "list", F.struct("verdict", "valid_from", "valid_to").alias("span"))
     names = lists.select("entry", "part", "list").distinct()
@@ -97,9 +100,11 @@ def judged(captures: DataFrame, log: DataFrame, url_col: str = "url", time_col:
     added = ["verdict", "entry", "list", "valid_from", "active"]
     # Written once, so that the numbers that tell rows apart stay as they are.
     rows = written(captures.drop(*added).withColumn("rid", F.monotonically_increasing_id()), "captures")
-    asked = rows.select("rid", F.col(time_col).alias("at"), keys_of(F.col(url_col)).alias("keys"))
+    spans = written(intervals(log), "list-intervals")
+    deepest = spans.agg(F.max(F.size(F.split("entry", "/")) - 1)).first()[0] or 0
+    asked = rows.select("rid", F.col(time_col).alias("at"), keys_of(F.col(url_col), deepest).alias("keys"))
     rank = F.struct((-F.length("entry")).alias("short"), (F.col("verdict") != "block").alias("mild"), "entry", "list", "verdict", "valid_from")
-    best = _active(asked, intervals(log)).groupBy("rid").agg(F.min(rank).alias("best"), F.count("*").alias("active"))
+    best = _active(asked, spans).groupBy("rid").agg(F.min(rank).alias("best"), F.count("*").alias("active"))
     found = rows.join(best, "rid", "left")
     return found.select(*[c for c in rows.columns if c != "rid"], *[F.col(f"best.{c}").alias(c) for c in added[:-1]],
                         F.coalesce("active", F.lit(0)).cast("long").alias("active"))

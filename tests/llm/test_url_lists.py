@@ -76,3 +76,10 @@ def test_plan_is_native(spark):
     captures, log = _frames(spark)
     plan = u.judged(captures.drop("rid"), log)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_entries_of_any_depth(spark):
+    captures, log = _frames(spark, [(1, "http://h.example/a/b/c/d/e/f/g", D(2024, 1, 5)), (2, "http://h.example/a/b/c/d/e", D(2024, 1, 5))],
+                            [("l1", "h.example/a/b/c/d/e/f", "block", D(2024, 1, 1)), ("l1", "h.example/a", "allow", D(2024, 1, 1))])
+    found = {r["page_id"]: (r["verdict"], r["entry"], r["active"]) for r in u.judged(captures.drop("rid"), log).collect()}
+    assert found == {1: ("block", "h.example/a/b/c/d/e/f", 2), 2: ("allow", "h.example/a", 1)}
