@@ -11,7 +11,8 @@ from codeloom.llm.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["<|endoftext|> a<|startoftext|>b  <|end oftext|>", "ΑΣ ΣΑΣ. ΣΑΣ́ x", "é ́a  b c\x1cd\x0be\x85f", "I'll don't 's ' s", "１２３ ½ ② ٣4", "한국어 가 test", "😀😀🏽 a​b", "", "  \n",
-       " a", "DŽ ǅ İ, İSTANBUL!", "﻿x \x00y", "ΑΣ́ͅ Σ", "à\ń", "don'' x'!s Ab'S", "Kelvin: K Å.", "a" * 5000, "!?" * 300, "Straße, ŉ! ﬁn."]
+       " a", "DŽ ǅ İ, İSTANBUL!", "﻿x \x00y", "ΑΣ́ͅ Σ", "à\ń", "don'' x'!s Ab'S", "Kelvin: K Å.", "a" * 5000, "!?" * 300, "Straße, ŉ! ﬁn.",
+       "plain İ", "ÀÉ «Ça» – “l'Été’s” 3½ €5", "tab\x0bfeed\x0cunit\x1fsep", "<|startoftext|>Plain", "µ ª º", "A\x1f B \x1f c"]
 
 
 @pytest.fixture(scope="module")
@@ -29,13 +30,21 @@ def test_ids_equal_the_tokenizers(tokenizer, duck):
 
 def test_forgetting_and_chunks_do_not_change_ids(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "WORDS_KEPT", 3)
-    monkeypatch.setattr(packing, "STEMS_KEPT", 2)
     monkeypatch.setattr(packing, "CHUNK", 20)
     monkeypatch.setattr(packing, "chunks", lambda t: [w + " " for w in t.split(" ")])
     texts = ["the quick, brown fox jumps!! over the lazy dog and more", "short", "words"] * 2
     assert [np.frombuffer(i, "<u4").tolist() for i in packing.WordEncoder(PATH, None).ids_of(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_another_tokenizer_encodes_whole_texts(tmp_path):
+    from tokenizers import models, pre_tokenizers
+    other = Tokenizer(models.WordLevel({"a": 0, "b c": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split(", ", "removed")
+    other.save(str(tmp_path / "other.json"))
+    found = packing.WordEncoder(str(tmp_path / "other.json"), None).ids_of(["a, b c, x", "", "B c"])
+    assert [np.frombuffer(i, "<u4").tolist() for i in found] == [[0, 1, 2], [], [2]]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4095, 4096, 4097, 12345])
 def test_binary_lengths(n):
     found = packing.binary_lengths(n)
