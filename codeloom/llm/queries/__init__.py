@@ -5,7 +5,7 @@ import importlib
 from codeloom.llm.queries.registry import CHECKS, QUERIES
 
 MODULES = ["op01_sharding", "op02_url_lists", "op03_quality", "op04_personal_data", "op05_nearest", "op06_simhash", "op07_exact", "op08_warc", "op09_packing", "op10_pieces",
-           "op12_lexical", "op13_whitening"]
+           "op11_toxicity", "op12_lexical", "op13_whitening"]
 for _name in MODULES:
     importlib.import_module(f"codeloom.llm.queries.{_name}")
 
