@@ -63,7 +63,7 @@ def relevance(query: str, now: Column) -> Column:
     parts.append(_points(text.contains(low), CONTENT))
     for t in tokens(query):
         parts.append(_points(F.col("search_text").contains(t), TOKEN))
-        parts.append(F.coalesce(F.least(occurrences(text, t) * TOKEN_HIT, F.lit(TOKEN_CAP)), F.lit(0)))
+        parts.append(F.least(F.coalesce(occurrences(text, t), F.lit(0)) * TOKEN_HIT, F.lit(TOKEN_CAP)))  # ``least`` skips nulls
     parts.append(_points(F.col("is_favorite"), FAVORITE))
     base = reduce(lambda a, b: a + b, parts)
     matched = reduce(lambda a, b: a + b, parts[:-1])
