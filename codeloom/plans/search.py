@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codeloom.operators import search as O
+from codeloom.operators.search_index import SearchIndex
 from codeloom.plans.registry import query
 from codeloom.plans.sqltext import add_view, base_name, q, sql
+from codeloom.session import cut_lineage, ensure_checkpoint_dir
 from codeloom.sources import views as V
 
 add_view("search_table", f"""
@@ -38,7 +42,7 @@ def _score(text: str) -> str:
     parts.append(_has("lower(content)", low, 20))
     for k in O.tokens(text):
         parts.append(_has("search_text", k, 5))
-        parts.append(f"coalesce(least(2 * (len(string_split(lower(content), {q(k)})) - 1), 30), 0)")
+        parts.append(f"least(2 * coalesce(len(string_split(lower(content), {q(k)})) - 1, 0), 30)")
     base = " + ".join(parts)
     age = f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 86400000000.0"
     return f"CASE WHEN {base} > 0 THEN {base} + CASE WHEN is_favorite THEN 10 ELSE 0 END + greatest(0.0, 10.0 - {age} / 30) ELSE 0.0 END"
@@ -75,10 +79,15 @@ SELECT key, name, total FROM (SELECT *, count(*) OVER () AS total FROM (SELECT *
 ORDER BY {order}, key LIMIT 50 OFFSET 10""", "search_table")
 
 
+def _paged(found, sort: str):
+    """Total and page from one scan: narrow hits are kept, counted and cut."""
+    hits = cut_lineage(found.select("key", "name", "score", "created_at", "size"))
+    total = hits.agg(F.count("*").alias("n"))
+    return hits.orderBy(*O.SORTS[sort](), "key").offset(10).limit(50).withColumn("total", total.scalar())
+
+
 def _sorted(t, sort: str):
-    found = O.matches(table(t), "the", _now())
-    total = found.agg(F.count("*").alias("n"))
-    return O.search(table(t), "the", _now(), sort=sort, offset=10, limit=50).withColumn("total", total.scalar()).select("key", "name", "total")
+    return _paged(O.matches(table(t), "the", _now()), sort).select("key", "name", "total")
 
 
 @query("t1_search_by_relevance", _page("score DESC"))
@@ -145,3 +154,59 @@ SELECT count(*) AS total_indexed, count(*) FILTER (type = 'project') AS project_
   CAST(sum(size) FILTER (type = 'file') AS BIGINT) AS total_size, count(DISTINCT language) FILTER (type = 'file') AS unique_languages FROM search_table""", "search_table"))
 def statistics(t):
     return O.corpus_statistics(table(t))
+
+
+# --- the stored index: written once a session and table folder, read by every query -----------------
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(t) -> SearchIndex:
+    """The index over all projects and files, written on first use and again where the input files have changed.
+
+    Its first generation has older texts for the files that ``labels`` names; an update brings their present texts and
+    takes out projects that are no favourites.
+    """
+    files = [t(n).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for n in ("documents", "pages", "labels")]
+    state = files[0].unionByName(files[1]).unionByName(files[2]).agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+    place = (t.spark.sparkContext.applicationId, t.folder, str(state))
+    if place not in _STORED:
+        folder = f"{ensure_checkpoint_dir(t.spark)}/search-index-{uuid.uuid4().hex}"
+        labelled = t("labels").select(F.concat(F.lit("file_"), F.col("doc_id").cast("string")).alias("key")).distinct()
+        older = V.files(t).join(t("labels").select(F.col("doc_id").alias("file_id"), F.lit(True).alias("_old")).distinct(), "file_id", "left")
+        older = older.withColumn("content", F.when(F.col("_old"), F.concat(F.lit("an older text of "), "path")).otherwise(F.col("content"))).drop("_old")
+        index = SearchIndex.create(O.search_table(V.projects(t), older), folder)
+        current = table(t)
+        index.update(current.join(labelled, "key", "left_semi"), current.where("type = 'project' AND NOT is_favorite"))
+        _STORED[place] = folder
+    return SearchIndex(t.spark, _STORED[place])
+
+
+_LIVE = "(SELECT * FROM search_table WHERE type = 'file' OR is_favorite)"
+
+
+@query("q1_index_relevance", sql(f"SELECT key, round(s, 6) AS score FROM (SELECT key, CAST({_score('Er the_of')} AS DOUBLE) AS s FROM {_LIVE}) WHERE s > 0", "search_table"))
+def index_relevance(t):
+    return stored_index(t).matches("Er the_of", _now()).select("key", F.round("score", 6).alias("score"))
+
+
+@query("q1_index_phrase", sql(f"SELECT key, name, round(s, 6) AS score FROM (SELECT key, name, CAST({_score('reading ingtion')} AS DOUBLE) AS s FROM {_LIVE}) WHERE s > 0", "search_table"))
+def index_phrase(t):
+    return stored_index(t).matches("reading ingtion", _now()).select("key", "name", F.round("score", 6).alias("score"))
+
+
+@query("q1_index_older_texts", sql(f"SELECT key, round(s, 6) AS score FROM (SELECT key, CAST({_score('an older text of')} AS DOUBLE) AS s FROM {_LIVE}) WHERE s > 0", "search_table"))
+def index_older(t):
+    """Words of the older texts, which the update has replaced."""
+    return stored_index(t).matches("an older text of", _now()).select("key", F.round("score", 6).alias("score"))
+
+
+@query("q1_index_file_relevance", sql(f"SELECT key, score FROM (SELECT key, CAST({_FILE} AS BIGINT) AS score FROM search_table WHERE type = 'file') WHERE score > 0", "search_table"))
+def index_file_relevance(t):
+    return stored_index(t).search_files("EN ").select("key", "score")
+
+
+@query("q1_index_page", sql(f"""
+SELECT key, name, total FROM (SELECT *, count(*) OVER () AS total FROM (SELECT *, CAST({_score('the')} AS DOUBLE) AS score FROM {_LIVE}) WHERE score > 0)
+ORDER BY score DESC, key LIMIT 50 OFFSET 10""", "search_table"))
+def index_page(t):
+    return _paged(stored_index(t).matches("the", _now()), "relevance").select("key", "name", "total")
