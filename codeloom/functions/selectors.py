@@ -33,3 +33,8 @@ def chain_pattern(selector: str) -> str:
         out += ("" if child or i == 0 else r"(?:<[^>]*>)*") + _compound(token)
         child = False
     return out + r"\z"
+
+
+def tag_pattern(selector: str) -> str:
+    """The opening tag of the element that a selector picks, whatever stands around it."""
+    return _compound(selector.split()[-1])

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.functions import html as H
-from codeloom.functions.selectors import chain_pattern
+from codeloom.functions.selectors import chain_pattern, tag_pattern
 from codeloom.functions.text import computed, once, presence, strip
 from codeloom.operators.blocks import site_of
+from codeloom.operators.site_rules import by_url
 from codeloom.rules import sites as R
 
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
@@ -91,13 +92,25 @@ def generic_blocks(pages: DataFrame) -> DataFrame:
         "block_index", F.row_number().over(order) - 1).drop("text")
 
 
-def site_blocks(pages: DataFrame) -> DataFrame:
-    """Elements picked by the rules of the page's site; pages of other sites give none here."""
-    e = elements(pages, CODE_LIKE).withColumn("site", site_of("url"))
-    rule = F.when(F.lit(False), F.lit(0))
-    for site, selectors in R.BLOCK_SELECTORS.items():
-        rule = rule.when(F.col("site") == site, _first_rule(selectors))
-    e = computed(e, priority=rule, code=strip("text")).where((F.length("code") >= 10) & F.col("priority").isNotNull())
+def _wanted(known: str, selectors: list[str]) -> str:
+    """Opening tags that the built-in or the users' selectors can pick."""
+    return "|".join([known, *dict.fromkeys(f"(?:{tag_pattern(s)})" for s in selectors)])
+
+
+def site_blocks(pages: DataFrame, rules: list[R.SiteRule] = R.SITES) -> DataFrame:
+    """Elements picked by the rules of the page's site; pages of other sites give none here.
+
+    Under a user's rule ``label`` is the text of the nearest earlier element that its label selectors pick.
+    """
+    own = [s for r in rules for s in (*r.blocks, *r.labels)]
+    e = elements(pages, _wanted(CODE_LIKE, own)).withColumn("site", site_of("url", rules))
+    priority = by_url(rules, lambda r: _first_rule(list(r.blocks) or R.BLOCK_SELECTORS.get(r.site, []) if r else []))
+    label = F.lit(None).cast("string")
+    if any(r.labels for r in rules):
+        picked = by_url(rules, lambda r: _first_rule(list(r.labels) if r else []))
+        e = computed(e, _label=F.when(picked.isNotNull(), presence(strip("text"))))
+        label = F.last("_label", True).over(Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    e = computed(e.withColumn("label", label).drop("_label"), priority=priority, code=strip("text")).where((F.length("code") >= 10) & F.col("priority").isNotNull())
     order = Window.partitionBy("page_id").orderBy("priority", "at")
     classes = F.lower(H.attribute("tag", "class"))
     language = F.coalesce(presence(F.regexp_extract(classes, r"language-(\w+)", 1)), presence(F.regexp_extract(classes, r"lang-(\w+)", 1)),
@@ -105,12 +118,10 @@ def site_blocks(pages: DataFrame) -> DataFrame:
     return e.withColumn("block_index", F.row_number().over(order) - 1).withColumn("language", language).drop("text", "chain", "tag")
 
 
-def message_containers(pages: DataFrame) -> DataFrame:
+def message_containers(pages: DataFrame, rules: list[R.SiteRule] = R.SITES) -> DataFrame:
     """Containers by the first of the site's selectors that matches anything on the page."""
-    e = elements(pages, CONTAINERS).withColumn("site", site_of("url"))
-    rule = F.when(F.lit(False), F.lit(0))
-    for site, selectors in R.MESSAGE_SELECTORS.items():
-        rule = rule.when(F.col("site") == site, _first_rule(selectors))
+    e = elements(pages, _wanted(CONTAINERS, [s for r in rules for s in r.containers])).withColumn("site", site_of("url", rules))
+    rule = by_url(rules, lambda r: _first_rule((list(r.containers) or R.MESSAGE_SELECTORS.get(r.site, [])) if r else R.MESSAGE_SELECTORS[R.GENERIC_SITE]))
     e = computed(e, priority=rule).where("priority IS NOT NULL")
     best = F.min("priority").over(Window.partitionBy("page_id"))
     return e.withColumn("_b", best).where("priority = _b").drop("_b")
