@@ -4,7 +4,7 @@ import importlib
 
 from codeloom.plans.registry import CHECKS, QUERIES
 
-MODULES = ["extraction", "naming", "duplicates", "merging", "analytics", "versions", "search", "quality", "trees", "exports", "streams", "elements", "site_rules"]
+MODULES = ["extraction", "naming", "duplicates", "merging", "analytics", "versions", "search", "quality", "trees", "exports", "streams", "elements", "site_rules", "stores"]
 for _name in MODULES:
     importlib.import_module(f"codeloom.plans.{_name}")
 

@@ -40,9 +40,9 @@ class Generations:
     def commit(self, generation: int, note: str = "") -> None:
         self._row(generation, note).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
 
-    def write(self, df: DataFrame, table: str, generation: int, *partitions: str) -> None:
+    def write(self, df: DataFrame, table: str, generation: int, *partitions: str, **options: str | int) -> None:
         """One table's part of a generation, replacing what an earlier attempt left."""
-        df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.folder}/{table}/generation={generation}")
+        df.write.mode("overwrite").options(**options).partitionBy(*partitions).parquet(f"{self.folder}/{table}/generation={generation}")
 
     def read(self, table: str, schema: str) -> DataFrame:
         """The committed parts of a table, with the column ``generation``."""
