@@ -152,10 +152,13 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> np.n
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int = TRAINING_ROWS) -> DataFrame:
-    """At most ``rows`` documents with a label, chosen on the narrow label table, so that texts of others never move."""
+    """At most ``rows`` documents with a label, chosen on the narrow label table, so that texts of others never move.
+
+    A column of ``docs`` that has the label column's name gives way to the label.
+    """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col)
     chosen = chosen.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col, label_col).limit(rows)
-    return docs.join(F.broadcast(chosen), id_col)  # no more than `rows` narrow rows
+    return docs.drop(label_col).join(F.broadcast(chosen), id_col)  # no more than `rows` narrow rows
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

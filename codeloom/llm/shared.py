@@ -53,16 +53,25 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
         yield text[start:] if start else text
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one where columns have it (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def rows_once(docs: DataFrame, id_col: str, key: Column, chosen: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id and ``key`` are in ``chosen`` (id, key, copies), each once, with all their columns.
 
     ``copies`` says how many rows have that id and key; only where it exceeds one are rows compared with each other.
     """
-    tagged = docs.withColumn("_key", key)
-    chosen = chosen.select(F.col("id").alias("_chosen_id"), F.col("key").alias("_chosen_key"), F.col("copies").alias("_copies"))
-    same = tagged[id_col].eqNullSafe(F.col("_chosen_id")) & (F.col("_key") == F.col("_chosen_key"))
-    found = tagged.join(chosen.where("_copies = 1"), same, "left_semi")
-    repeated = chosen.where("_copies > 1")
+    own, other_id, other_key, copies = (unused(n, docs.columns) for n in ("_key", "_chosen_id", "_chosen_key", "_copies"))
+    tagged = docs.withColumn(own, key)
+    chosen = chosen.select(F.col("id").alias(other_id), F.col("key").alias(other_key), F.col("copies").alias(copies))
+    same = tagged[id_col].eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other_key))
+    found = tagged.join(chosen.where(F.col(copies) == 1), same, "left_semi")
+    repeated = chosen.where(F.col(copies) > 1)
     if not repeated.isEmpty():
-        found = found.unionByName(tagged.join(repeated, same, "left_semi").dropDuplicates([id_col, "_key"]))
-    return found.drop("_key")
+        found = found.unionByName(tagged.join(repeated, same, "left_semi").dropDuplicates([id_col, own]))
+    return found.drop(own)

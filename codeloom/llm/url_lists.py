@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeloom.llm.shared import written
+from codeloom.llm.shared import unused, written
 
 #: Segments of a path that make keys, where the lists are not known.
 SEGMENTS = 4
@@ -98,13 +98,17 @@ def judged(captures: DataFrame, log: DataFrame, url_col: str = "url", time_col:
     Columns of those names are replaced. Rows may repeat: each is judged for itself.
     """
     added = ["verdict", "entry", "list", "valid_from", "active"]
-    # Written once, so that the numbers that tell rows apart stay as they are.
-    rows = written(captures.drop(*added).withColumn("rid", F.monotonically_increasing_id()), "captures")
+    own = captures.drop(*added)
+    rid, keys = unused("rid", own.columns), unused("keys", own.columns)
     spans = written(intervals(log), "list-intervals")
     deepest = spans.agg(F.max(F.size(F.split("entry", "/")) - 1)).first()[0] or 0
-    asked = rows.select("rid", F.col(time_col).alias("at"), keys_of(F.col(url_col), deepest).alias("keys"))
+    # Written once, so that the numbers that tell rows apart stay as they are, and keys are made where rows are read.
+    rows = written(own.withColumn(rid, F.monotonically_increasing_id()).withColumn(keys, keys_of(F.col(url_col), deepest)), "captures")
+    asked = rows.select(F.col(rid).alias("rid"), F.col(time_col).alias("at"), F.col(keys).alias("keys"))
     rank = F.struct((-F.length("entry")).alias("short"), (F.col("verdict") != "block").alias("mild"), "entry", "list", "verdict", "valid_from")
     best = _active(asked, spans).groupBy("rid").agg(F.min(rank).alias("best"), F.count("*").alias("active"))
-    found = rows.join(best, "rid", "left")
-    return found.select(*[c for c in rows.columns if c != "rid"], *[F.col(f"best.{c}").alias(c) for c in added[:-1]],
-                        F.coalesce("active", F.lit(0)).cast("long").alias("active"))
+    best_of, met = unused("_best", rows.columns), unused("_met", rows.columns)
+    best = best.select(F.col("rid").alias(met), F.struct("best", "active").alias(best_of))
+    found = rows.join(best, F.col(rid) == F.col(met), "left")
+    return found.select(*own.columns, *[F.col(f"{best_of}.best.{c}").alias(c) for c in added[:-1]],
+                        F.coalesce(F.col(f"{best_of}.active"), F.lit(0)).cast("long").alias("active"))

@@ -53,3 +53,10 @@ def test_staying_rows(spark, odd_docs, no_docs):
 def test_plan_is_native(odd_docs):
     plan = exact.duplicate_classes(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_with_inner_names_stay(spark):
+    from codeloom.llm import simhash
+    docs = spark.createDataFrame([(1, "a b c d e", 7, "k"), (2, "a  b c d e", 8, "k"), (2, "a  b c d e", 8, "k")], "doc_id long, text string, _key int, _chosen_id string")
+    assert [tuple(r) for r in exact.without_duplicates(docs).collect()] == [(1, "a b c d e", 7, "k")]
+    assert simhash.one_of_each(docs).columns == docs.columns

@@ -54,3 +54,47 @@ def test_odd_rows(spark, odd_docs, no_docs):
     nothing = quality.fit(quality.training_rows(odd_docs, labels.limit(0), "doc_id", "label"), "doc_id", "text", "label")
     assert not nothing.any()
     assert {r["score"] for r in quality.score(odd_docs, nothing).collect()} == {0.5}
+
+
+def test_column_named_as_the_label(spark):
+    docs = spark.createDataFrame([(i, f"good words {i}" if i % 2 else f"JUNK!! {i}", "mine") for i in range(40)], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    weights = quality.fit(quality.training_rows(docs, labels, "doc_id", "label"), "doc_id", "text", "label")
+    found = quality.score(docs, weights).toPandas()
+    assert (found["predicted"] == found["doc_id"] % 2).all() and (found["label"] == "mine").all()
+
+
+class PlainFTRL:
+    """The same updates with one number at a time, in dictionaries."""
+
+    def __init__(self):
+        self.z, self.n = {}, {}
+
+    def weight(self, i):
+        z = self.z.get(i, 0.0)
+        if abs(z) <= quality.L1:
+            return 0.0
+        return -(z - (1 if z > 0 else -1) * quality.L1) / ((quality.BETA + self.n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    def learn(self, values, label):
+        weights = {i: self.weight(i) for i in values}
+        p = 1 / (1 + np.exp(-sum(weights[i] * v for i, v in values.items())))
+        for i, v in values.items():
+            g = (p - label) * v
+            n = self.n.get(i, 0.0)
+            self.z[i] = self.z.get(i, 0.0) + g - ((n + g * g) ** 0.5 - n ** 0.5) / quality.ALPHA * weights[i]
+            self.n[i] = n + g * g
+
+
+def test_updates_against_plain_ones():
+    generator = np.random.default_rng(2)
+    plain, model = PlainFTRL(), quality.FollowTheLeader()
+    for _ in range(300):
+        at = generator.choice(50, size=6, replace=False)
+        values = generator.random(6)
+        label = int(at.min() < 5)
+        plain.learn({**dict(zip(at.tolist(), values.tolist())), 1 << quality.BITS: 1.0}, label)
+        model.learn(at, values, label)
+    found = model.weights()
+    assert np.allclose([found[i] for i in [*range(50), 1 << quality.BITS]], [plain.weight(i) for i in [*range(50), 1 << quality.BITS]])
+    assert not found[50:1 << quality.BITS].any()

@@ -45,7 +45,6 @@ def _frames(spark, captures=CAPTURES, log=LOG):
 def test_against_brute_force(spark, monkeypatch, together):
     monkeypatch.setattr(u, "TOGETHER", together)
     captures, log = _frames(spark)
-    captures = captures.drop("rid")
     keys = [(r[0], r[1], r[2], r[3]) for r in captures.select("page_id", "url", "fetched_at", u.keys_of(F.col("url"))).collect()]
     found = [(r["page_id"], r["url"], r["verdict"], r["entry"], r["list"], r["active"]) for r in u.judged(captures, log).collect()]
     assert sorted(found, key=repr) == _brute(keys, LOG)
@@ -68,18 +67,18 @@ def test_intervals(spark):
 
 def test_empty(spark):
     captures, log = _frames(spark)
-    assert u.judged(captures.limit(0).drop("rid"), log).count() == 0
-    assert [r["active"] for r in u.judged(captures.drop("rid"), log.limit(0)).collect()] == [0] * len(CAPTURES)
+    assert u.judged(captures.limit(0), log).count() == 0
+    assert [r["active"] for r in u.judged(captures, log.limit(0)).collect()] == [0] * len(CAPTURES)
 
 
 def test_plan_is_native(spark):
     captures, log = _frames(spark)
-    plan = u.judged(captures.drop("rid"), log)._jdf.queryExecution().toString()
+    plan = u.judged(captures, log)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_entries_of_any_depth(spark):
     captures, log = _frames(spark, [(1, "http://h.example/a/b/c/d/e/f/g", D(2024, 1, 5)), (2, "http://h.example/a/b/c/d/e", D(2024, 1, 5))],
                             [("l1", "h.example/a/b/c/d/e/f", "block", D(2024, 1, 1)), ("l1", "h.example/a", "allow", D(2024, 1, 1))])
-    found = {r["page_id"]: (r["verdict"], r["entry"], r["active"]) for r in u.judged(captures.drop("rid"), log).collect()}
+    found = {r["page_id"]: (r["verdict"], r["entry"], r["active"]) for r in u.judged(captures, log).collect()}
     assert found == {1: ("block", "h.example/a/b/c/d/e/f", 2), 2: ("allow", "h.example/a", 1)}
