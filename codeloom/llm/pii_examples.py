@@ -16,24 +16,24 @@ paid with {card|4024 0071 1234 5678} in March
 Kreditkarte {card|5105-1051-0510-5100} wurde belastet
 numéro {card|6011000990139424} de la carte
 la tarjeta {card|3530111333300000} no vale
-thand onere {card|9807915762804490} esand er
-entz und {card|0759539412582376} die lich
-THE {card|5927243074273351} OF
-iner {card|9000426309966109} ther
-token = "{secret|b44e15e09fd311c3cf3163b66d5a9875b883d8ce}" is set
-TOKEN = "{secret|9233A8ECF7C5B09FE5949719B6B82BC439E9329B}" there
-api key : "{secret|4d44c79e8bf7c55759c4958dd60ed83d}" , keep it
+harbour lights {card|7302648159037726} early on
+wir sahen {card|0418263975520184} am abend
+OUR {card|6620391847750293} WAS
+garden {card|8150937264408317} paths
+token = "{secret|c07d3b9a6e5f42188d90ab31f6e47c25d1b8093a}" is set
+TOKEN = "{secret|5AF0D17C38B2964EE1730C9D84A6B25F91D3E708}" there
+api key : "{secret|e7308c51a9f24bd6b05d7c128fa3946e}" , keep it
 password = "{secret|a1b2c3d4e5f6a7b8c9d0e1f2}" in the file
 secret = '{secret|0f9e8d7c6b5a49382716051423324150}' here
 log {ip|10.0.0.1} {card|4024007112345678} end
 {ip|192.168.7.20} {card|5500005555555559}
-de {email|55@mail4.example.com} et la
+de {email|31@poste9.example.net} et nous
 und {email|kontakt@firma.example} oder
-que {ip|97.51.17.173} los {card|9807915762804490} raie
-thin | nder | {card|3963522770391943} | anor | ttish | thean
+con {ip|203.0.113.146} del {card|7302648159037726} viaje
+oak | elm | {card|2749015836624178} | ash | birch | pine
 one | two | three | 12 | four | five | six
 | name | 2019 | 35 | left | right | up | down |
-Wher. @ Wher. Th | Th | 1 | Th ### 2 *** tion
+Yes. @ Yes. No | No | 1 | No ### 2 *** maybe
 Licensed under CC BY-NC 4.0.
 Apache License, Version 2.0.
 GNU General Public License, version 3.
@@ -45,7 +45,7 @@ About 35% of 12000 people in 1998 said so.
 In chapter 7, page 132, line 4, see figure 2.
 Order 20240130 has 3 parts and weighs 12.5 kg.
 We sold 150,000,000 units in 2020 and 75 in 2021.
-commit 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde fixes it
+commit 7be19d04c3a85f6201d4e8b97c35a0f26d918e4b fixes it
 sha256 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08 of the file
 ISBN 978-3-16-148410-0 and issue 12
 The years 1939-1945 and 1914 - 1918

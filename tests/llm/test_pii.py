@@ -158,3 +158,14 @@ def test_windows_decoded_together_equal_each_alone(model, monkeypatch):
     assert together == [pii.added_spans(model, [t], [b])[0] for t, b in zip(texts, base)]
     monkeypatch.setattr(pii, "WORDS_AT_ONCE", 7)
     assert pii.added_spans(model, texts, base) == together
+
+
+def test_examples_are_not_from_the_tables(duck):
+    import re
+    from codeloom.llm.pii_examples import EXAMPLES
+    spans = {s for s in re.findall(r"\{\w+\|([^}]*)\}", EXAMPLES)} | {w for w in re.findall(r"\w+", EXAMPLES) if len(w) >= 12}
+    assert len(spans) > 20
+    for folder in ("sf0.001", "sf0.1"):
+        for table, column in (("documents", "text"), ("pages", "html"), ("conversations", "text"), ("benchmark", "text")):
+            hits = duck.execute(f"SELECT s FROM unnest(?) u(s) WHERE EXISTS (SELECT 1 FROM '/root/testdata/{folder}/{table}.parquet' WHERE contains({column}, s))", [sorted(spans)]).fetchall()
+            assert hits == [], (folder, table, hits)
