@@ -25,6 +25,8 @@ ARCHIVE_BYTES = 256 << 20
 #: A read is at most this long (unless one record is longer), and skips at most GAP bytes between two records.
 READ_BYTES = 8 << 20
 GAP = 64 << 10
+#: Bytes of archives that a reading task is given, about, and reading tasks at most.
+TASK_BYTES, MOST_READERS = 4 << 20, 100_000
 LEVEL = 3
 #: Time of records whose table has none.
 NO_TIME = "1970-01-01T00:00:00Z"
@@ -131,7 +133,10 @@ def read_records(index: DataFrame, folder: str, keep_payload: bool = True) -> Da
     digest of a revisit are those its header and its response give (see ``resolved``).
     """
     part = F.floor(F.col("offset") / READ_BYTES).alias("part")
-    placed = index.select("file", "offset", "length", part).repartition("file", "part").sortWithinPartitions("file", "offset")
+    # The index is small beside what it names, so the number of readers follows the bytes to be read.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    readers = min(max(total // TASK_BYTES, 1), MOST_READERS)
+    placed = index.select("file", "offset", "length", part).repartition(readers, "file", "part").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
