@@ -71,12 +71,17 @@ def as_of(probes: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def with_predecessor(versions: DataFrame) -> DataFrame:
-    """Each version with the content of the one before it (null for the first)."""
-    n = number_versions(versions)
+    """Each version with the id and content of the one before it (null for the first).
+
+    Ids are numbered and linked without contents, which then are fetched by id.
+    """
+    n = number_versions(versions.select("version_id", "ts", *KEY))
     before = n.select(F.col("project_id").alias("b_project"), F.col("path").alias("b_path"), (F.col("version_no") + 1).alias("b_no"),
-                      F.col("version_id").alias("old_version"), F.col("content").alias("old_content"))
-    return n.join(before, (F.col("project_id") == F.col("b_project")) & (F.col("path") == F.col("b_path"))
-                  & (F.col("version_no") == F.col("b_no")), "left").drop("b_project", "b_path", "b_no")
+                      F.col("version_id").alias("old_version"))
+    linked = n.join(before, (F.col("project_id") == F.col("b_project")) & (F.col("path") == F.col("b_path"))
+                    & (F.col("version_no") == F.col("b_no")), "left").select("version_id", "version_no", "old_version")
+    contents = versions.select(F.col("version_id").alias("old_version"), F.col("content").alias("old_content"))
+    return versions.join(linked, "version_id").join(contents, "old_version", "left")
 
 
 def version_pairs(pairs: DataFrame, versions: DataFrame) -> DataFrame:

@@ -100,9 +100,9 @@ SELECT block_id AS page_id, url,
   || '</p><pre>   </pre><script>var x = ''<pre>no</pre>'';</script></div></body></html>' AS html
 FROM code_blocks""",
     "versions": """
-SELECT f.file_id AS version_id, f.project_id, f.path, f.content, length(f.content) AS size,
+SELECT e.event_id AS version_id, f.project_id, f.path, f.content, length(f.content) AS size,
        len(string_split(f.content, chr(10))) AS lines, e.ts, e.event_type AS change_type, e.value > 50 AS is_favorite
-FROM files f JOIN events e ON f.file_id = e.event_id""",
+FROM files f JOIN events e ON f.file_id = e.event_id % (SELECT count(*) FROM documents)""",
     "projects": rf"""
 SELECT page_id AS project_id, {strip(content("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS name, url AS source_url,
        lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS source_site,
