@@ -12,6 +12,8 @@ from codeloom.plans.sqltext import sql
 from codeloom.session import ensure_checkpoint_dir
 from codeloom.sources import snapshots as SN, views as V
 from codeloom.sources.project_store import ProjectStore
+from codeloom.sources.version_store import VersionStore
+from codeloom.streaming.queue import ChangeQueue
 
 _CHOSEN = "(SELECT 'src' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey < 2)"
 
@@ -75,3 +77,58 @@ def after_delete(t):
     store = imported_store(t)
     store.delete(store.files().where(F.size(F.split("content", "\n")) == 1))
     return store.files().select("id", "generation")
+
+
+# --- versions saved in batches ------------------------------------------------------------------
+def version_store(t, keep: int = 4) -> VersionStore:
+    """All versions, saved as three batches of ten days; the second one twice, as after a crash."""
+    v = V.versions(t)
+    parts = [v.where(F.col("ts") < F.lit("2024-01-11").cast("timestamp")),
+             v.where(F.col("ts").between(F.lit("2024-01-11").cast("timestamp"), F.lit("2024-01-20 23:59:59.999999").cast("timestamp"))),
+             v.where(F.col("ts") >= F.lit("2024-01-21").cast("timestamp"))]
+    store = VersionStore.create(parts[0], new_folder(t, "version-store"), buckets=16, keep=keep)
+    for part in (parts[1], parts[1], parts[2]):
+        store.save(part)
+    return store
+
+
+@query("v1_version_store", sql("""
+SELECT version_id, project_id, path, size, is_favorite FROM (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY ts DESC, version_id DESC) AS r FROM versions)
+WHERE r <= 4 OR is_favorite""", "versions"))
+def stored_versions(t):
+    return version_store(t).versions().select("version_id", "project_id", "path", "size", "is_favorite")
+
+
+# --- the change queue ---------------------------------------------------------------------------
+_CHANGE = "event_id long, user_id long, event_type string, value double"
+
+
+def _receiver(rows: DataFrame, batch_id: int, attempt: int) -> DataFrame:
+    """A receiver that is down for errors, and answers signups at the second and purchases at the third attempt."""
+    kind = rows.select("event_type").first()
+    needed = {"signup": 2, "purchase": 3, "error": 99}.get(kind[0] if kind else None, 1)
+    if attempt < needed:
+        raise ConnectionError(f"receiver of {kind[0]} is down")
+    return rows
+
+
+def worked_off(t) -> ChangeQueue:
+    """Events as queued changes, by files of one type each, one file a batch; changes below 1 in value are refused."""
+    folder = new_folder(t, "change-queue")
+    t("events").select("event_id", "user_id", "event_type", "value").repartition("event_type").write.partitionBy("event_type").parquet(f"{folder}/changes")
+    stream = t.spark.readStream.schema(_CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{folder}/changes")
+    refused = F.when(F.col("value").isNull(), F.lit("no value")).when(F.col("value") < 1, F.lit("value below 1"))
+    return ChangeQueue(t.spark, f"{folder}/queue", _receiver, refused).open().run(stream, f"{folder}/checkpoint")
+
+
+@query("st9_delivered_changes", """
+SELECT event_id, user_id, event_type, CAST(CASE event_type WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 1 END AS BIGINT) AS attempts FROM events WHERE value >= 1 AND event_type <> 'error'""")
+def delivered(t):
+    return worked_off(t).sent(_CHANGE).select("event_id", "user_id", "event_type", "attempts")
+
+
+@query("st9_dead_letters", """
+SELECT event_id, CASE WHEN value IS NULL THEN 'no value' WHEN value < 1 THEN 'value below 1' ELSE 'ConnectionError: receiver of error is down' END AS reason,
+  CAST(CASE WHEN coalesce(value, 0) < 1 THEN 0 ELSE 3 END AS BIGINT) AS attempts FROM events WHERE coalesce(value, 0) < 1 OR event_type = 'error'""")
+def dead_letters(t):
+    return worked_off(t).dead(_CHANGE).select("event_id", "reason", "attempts")

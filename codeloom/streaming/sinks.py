@@ -55,12 +55,6 @@ def updates_to_table(stream: DataFrame, keys: list[str], mode: str = "update") -
     return run_updates(stream, keys, f"{base}/out", f"{base}/state", mode)
 
 
-def start_change_queue(changes: DataFrame, path: str, checkpoint: str, **trigger):
-    """Batched append of queued changes; failed batches are tried again from the checkpoint."""
-    return (changes.writeStream.foreachBatch(lambda df, n: append_once(df, n, path))
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start())
-
-
 def start_live_capture(files: DataFrame, path: str, checkpoint: str, **trigger):
     """Live merge with its three outputs: statuses, change log, versions."""
     def write(df: DataFrame, batch_id: int) -> None:
