@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from codeloom.plans.exports import _LINES, _damaged
 from codeloom.plans.registry import query
 from codeloom.plans.sqltext import sql
-from codeloom.session import ensure_checkpoint_dir
+from codeloom.session import cut_lineage, ensure_checkpoint_dir
 from codeloom.sources import snapshots as SN, views as V
 from codeloom.sources.project_store import ProjectStore
+from codeloom.sources.seen_set import SeenSet
 from codeloom.sources.version_store import VersionStore
 from codeloom.streaming.queue import ChangeQueue
 
@@ -132,3 +133,19 @@ SELECT event_id, CASE WHEN value IS NULL THEN 'no value' WHEN value < 1 THEN 'va
   CAST(CASE WHEN coalesce(value, 0) < 1 THEN 0 ELSE 3 END AS BIGINT) AS attempts FROM events WHERE coalesce(value, 0) < 1 OR event_type = 'error'""")
 def dead_letters(t):
     return worked_off(t).dead(_CHANGE).select("event_id", "reason", "attempts")
+
+
+# --- keys seen over many scans ------------------------------------------------------------------
+@query("j5_seen_over_scans", sql("""
+SELECT file_id, file_id % 4 AS scan, min(file_id % 4) OVER (PARTITION BY content) < file_id % 4 AS seen FROM files""", "files"))
+def seen_over_scans(t):
+    """All files in four scans, each flagged against those before it."""
+    known = SeenSet(t.spark, new_folder(t, "seen-set")).open()
+    rows = V.files(t).select("file_id", F.sha2("content", 256).alias("hash"), (F.col("file_id") % 4).alias("scan"))
+    rows, found = cut_lineage(rows), None
+    for n in range(4):
+        scan = rows.where(F.col("scan") == n)
+        part = cut_lineage(known.flagged(scan).select("file_id", "scan", "seen"))
+        found = part if found is None else found.unionByName(part)
+        known.add(scan.select(F.col("hash").alias("key")))
+    return found
