@@ -54,14 +54,6 @@ def template_rows(spark: SparkSession, own: DataFrame | None = None) -> DataFram
     return base.unionByName(own.select(*base.columns[:-1]).withColumn("is_custom", F.lit(True)))
 
 
-def custom_template(t: Template | dict) -> dict:
-    """Defaults of a user-made template."""
-    t = t if isinstance(t, dict) else t.__dict__
-    return {"id": t.get("id") or f"custom_{t['name']}", "name": t["name"], "description": t.get("description") or "",
-            "category": t.get("category") or "custom", "language": t.get("language") or "text",
-            "tags": t.get("tags") or ["custom"], "files": t.get("files") or []}
-
-
 def search_templates(templates: DataFrame, text: str | None = None, category: str | None = None,
                      language: str | None = None, tag: str | None = None) -> DataFrame:
     out = templates

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import html as H
-from codeloom.operators import blocks as B, merging as M, teams as T
+from codeloom.operators import blocks as B, merging as M, teams as T, template_feed as TF
 from codeloom.plans.duplicates import UPDATE_TYPE
 from codeloom.plans.naming import code_files, typed
 from codeloom.plans.registry import query
@@ -306,3 +306,44 @@ def rule_findings(t):
         F.when(F.col("url").startswith("https"), F.col("url")).otherwise(F.lit("")).alias("domain"),
         F.slice(F.array(F.lit("pre"), F.lit("code")), F.lit(1), (F.col("page_id") % 3).cast("int")).alias("selectors"))
     return T.validate_site_rules(rules)
+
+
+# --- users' templates as a feed of changes --------------------------------------------------------
+def template_changes(t):
+    """Every event changes the template of its user: signups and purchases add it, errors delete it, others change it."""
+    kind = F.when(F.col("event_type").isin("signup", "purchase"), F.lit("add")).when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("change"))
+    return t("events").select(
+        F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("custom_"), F.col("user_id").cast("string")).alias("id"),
+        F.when(kind != "change", F.concat(F.lit("Template "), F.col("event_id").cast("string"))).alias("name"),
+        F.when(F.col("event_type") != "click", F.col("props")).alias("description"), F.when(F.col("value") > 50, F.lit("web")).alias("category"),
+        F.lit(None).cast("string").alias("language"), F.when(F.col("event_type") == "view", F.array("event_type")).alias("tags"),
+        F.when(F.col("event_type") != "view", F.array(F.struct(F.lit("a.txt").alias("path"), F.lit("text").alias("language"), F.col("event_type").alias("content")))).alias("files"))
+
+
+_FEED = """
+f AS (SELECT event_id AS seq, 'custom_' || CAST(user_id AS VARCHAR) AS id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'add' WHEN event_type = 'error' THEN 'delete' ELSE 'change' END AS kind,
+  CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN 'Template ' || CAST(event_id AS VARCHAR) END AS name, CASE WHEN event_type <> 'click' THEN props END AS description,
+  CASE WHEN value > 50 THEN 'web' END AS category, CASE WHEN event_type = 'view' THEN event_type END AS tag, CASE WHEN event_type <> 'view' THEN event_type END AS body FROM events),
+s AS (SELECT id, max(seq) FILTER (kind = 'add') AS a, max(seq) FILTER (kind = 'delete') AS d FROM f GROUP BY id),
+r AS (SELECT f.* FROM f JOIN s USING (id) WHERE seq >= a AND a > coalesce(d, -1) AND kind <> 'delete'),
+c AS (SELECT id, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, arg_max(coalesce(description, ''), seq) FILTER (kind = 'add' OR description IS NOT NULL) AS description,
+  arg_max(coalesce(category, 'custom'), seq) FILTER (kind = 'add' OR category IS NOT NULL) AS category, 'text' AS language,
+  arg_max(coalesce(tag, 'custom'), seq) FILTER (kind = 'add' OR tag IS NOT NULL) AS tag, arg_max(body, seq) FILTER (body IS NOT NULL) AS body FROM r GROUP BY id)"""
+
+
+@query("x5_template_feed", f"WITH {_FEED} SELECT * FROM c")
+def template_feed(t):
+    return TF.compacted(template_changes(t)).select("id", "name", "description", "category", "language", F.get("tags", F.lit(0)).alias("tag"),
+                                                    F.get("files", F.lit(0))["content"].alias("body"))
+
+
+@query("x5_exchanged_templates", f"""
+WITH {_FEED} SELECT name, category, 'imported' AS kind, count(*) AS rows FROM c GROUP BY name, category
+UNION ALL SELECT NULL, NULL, 'not a template', count(*) FROM events""")
+def exchanged_templates(t):
+    """The compacted templates, written as JSON and read again, beside lines that hold none."""
+    lines = TF.to_json(TF.compacted(template_changes(t))).unionByName(t("events").select(F.col("props").alias("value")))
+    read = TF.from_json(lines)
+    good = TF.compacted(read.where("problem IS NULL").drop("problem")).select("name", "category", F.lit("imported").alias("kind"))
+    bad = read.where("problem IS NOT NULL").select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("category"), F.col("problem").alias("kind"))
+    return good.unionByName(bad).groupBy("name", "category", "kind").agg(F.count("*").alias("rows"))

@@ -11,7 +11,7 @@ from codeloom.plans.duplicates import UPDATE_TYPE
 from codeloom.plans.registry import query
 from codeloom.plans.sqltext import add_view, like, q, sql, strip
 from codeloom.sources import views as V
-from codeloom.streaming import blocks as SB, merge as SM, monitors as MO, sinks as SK
+from codeloom.streaming import blocks as SB, log as LG, merge as SM, monitors as MO, sinks as SK
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -166,3 +166,11 @@ def complete_blocks(t):
     d = _documents(t).select(F.col("event_id").alias("page_id"), F.col("project_id").alias("element_id"), F.col("content").alias("text"), "ts",
                              F.lit(False).alias("busy"))
     return SK.run_to_table(SM.complete_blocks(d)).select("page_id", "element_id", F.sha2("text", 256).alias("hash"))
+
+
+@query("st10_bounded_logs_stream", """
+SELECT user_id AS source_id, event_id, event_type AS type, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS place FROM events) WHERE place < 50""")
+def bounded_logs_stream(t):
+    logs = SK.updates_to_table(LG.bounded_logs(_beat_stream(t)), ["source_id"])
+    return logs.select("source_id", F.posexplode(F.arrays_zip("event_ids", "types")).alias("place", "e")).select(
+        "source_id", F.col("e.event_ids").alias("event_id"), F.col("e.types").alias("type"), "place")

@@ -7,8 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from codeloom.session import local_session  # noqa: E402
-
-SF = "/root/testdata/sf0.001"
+from oracle import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -9,6 +9,8 @@ from pathlib import Path
 
 import duckdb
 
+#: Tables that the tests read.
+SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 

@@ -3,8 +3,7 @@
 import pytest
 
 from codeloom.plans import CHECKS, QUERIES
-from conftest import SF
-from oracle import compare
+from oracle import SF, compare
 
 ROWS_ONLY = sorted(set(QUERIES) - set(CHECKS))
 

@@ -8,7 +8,7 @@ from codeloom.operators.search_index import SearchIndex, grams
 from codeloom.plans import search as P
 from codeloom.sources import views as V
 from codeloom.sources.tables import Tables
-from conftest import SF
+from oracle import SF
 
 QUERIES = ["the", "Er the_of", "e", "an", "😀 naïve", "https example", "no such words zzqy", "  ", "doc_0.TXT"]
 
