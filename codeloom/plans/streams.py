@@ -11,7 +11,7 @@ from codeloom.plans.duplicates import UPDATE_TYPE
 from codeloom.plans.registry import query
 from codeloom.plans.sqltext import add_view, like, q, sql, strip
 from codeloom.sources import views as V
-from codeloom.streaming import blocks as SB, log as LG, merge as SM, monitors as MO, sinks as SK
+from codeloom.streaming import blocks as SB, log as LG, merge as SM, monitors as MO, sinks as SK, tabs as TB
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -174,3 +174,15 @@ def bounded_logs_stream(t):
     logs = SK.updates_to_table(LG.bounded_logs(_beat_stream(t)), ["source_id"])
     return logs.select("source_id", F.posexplode(F.arrays_zip("event_ids", "types")).alias("place", "e")).select(
         "source_id", F.col("e.event_ids").alias("event_id"), F.col("e.types").alias("type"), "place")
+
+
+@query("u1_merged_tabs_stream", sql("""
+SELECT path_key, file_id, project_id, content, copies FROM (
+  SELECT *, lower(path) AS path_key, count(*) OVER (PARTITION BY lower(path)) AS copies, row_number() OVER (PARTITION BY lower(path) ORDER BY ts DESC, project_id, file_id) AS rn
+  FROM files WHERE project_id NOT IN (SELECT 'src' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 1)) WHERE rn = 1""", "files"))
+def merged_tabs_stream(t):
+    """Arriving files of all sources as one project; the sources of one region close in the end."""
+    came = _documents(t).withColumnRenamed("event_id", "file_id")
+    nations = SK.read_stream(t.spark, t.folder, "nation.parquet").where("n_regionkey = 1")
+    went = nations.select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("project_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"))
+    return SK.updates_to_table(TB.merged_tabs(came, went), ["path_key"]).where("NOT gone").drop("gone")
