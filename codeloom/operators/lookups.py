@@ -81,10 +81,9 @@ def export_set(files: DataFrame, extensions: list[str]) -> DataFrame:
 
 
 def reordered(files: DataFrame, order: DataFrame) -> DataFrame:
-    """Positions taken from ``order(project_id, ids)``; files not listed keep theirs."""
-    places = order.select("project_id", F.posexplode("ids").alias("new_position", "file_id"))
-    return files.join(places, ["project_id", "file_id"], "left").withColumn(
-        "position", F.coalesce(F.col("new_position").cast("bigint"), F.col("position").cast("bigint"))).drop("new_position")
+    """Positions taken from the rows of ``order`` (project_id, file_id, place); files not listed keep theirs."""
+    places = order.select("project_id", "file_id", F.col("place").cast("bigint").alias("_place"))
+    return files.join(places, ["project_id", "file_id"], "left").withColumn("position", F.coalesce("_place", F.col("position").cast("bigint"))).drop("_place")
 
 
 def valid_code(code: Column | str) -> Column:

@@ -27,6 +27,11 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], coarse: Column
     return joined.withColumn(out, F.col("_before") + F.col("_local")).select(*df.columns, out)
 
 
+def coarse_text(text: Column, characters: int = 7) -> Column:
+    """A whole number that does not fall as ``text`` rises: its first bytes. For the coarse groups of ``numbered``."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, characters)), 2 * characters, "0"), 16, 10).cast("bigint")
+
+
 def winners(df: DataFrame, keys: list[str], id_col: str, best: Column, last: bool = True) -> DataFrame:
     """Ids of the row with the largest (or smallest) ``best`` per key.
 

@@ -113,6 +113,16 @@ def with_day(versions: DataFrame) -> DataFrame:
     return versions.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
 
 
+def timeline_changes(versions: DataFrame) -> DataFrame:
+    """The changes below each day of the timeline, newest first: ``place`` counts from 0 within (project, day).
+
+    Numbered by minute, so that a busy day is no single task; a page of a day is a range of places.
+    """
+    rows = with_day(versions).select("project_id", "day", "version_id", "path", "change_type", "size", "ts")
+    found = numbered(rows, ["project_id", "day"], [F.col("ts").desc(), F.col("version_id").desc()], -_minute(F.col("ts")), "_n")
+    return found.withColumn("place", F.col("_n") - 1).drop("_n")
+
+
 def toggled(versions: DataFrame, toggles: DataFrame) -> DataFrame:
     """Flip the favourite mark of the listed versions; a version listed twice flips back."""
     odd = toggles.groupBy("version_id").agg((F.count("*") % 2 == 1).alias("flip"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import html as H, metrics as MT
 from codeloom.operators import analytics as A, lookups as L, names as O
+from codeloom.operators.ranking import coarse_text, numbered
 from codeloom.plans.naming import code_files
 from codeloom.plans.registry import query
 from codeloom.plans.sqltext import add_view, base_name, like, q, sql, strip
@@ -149,10 +150,8 @@ SELECT f.project_id, f.block_id AS file_id, coalesce(o.place, f.position) AS pos
 LEFT JOIN o ON o.project_id = f.project_id AND o.block_id = f.block_id""", "code_files"))
 def reordered(t):
     s = stored(t)
-    # sixty-four blocks to a project, so its id list is short
-    ids = s.where("language <> 'text'").groupBy("project_id").agg(F.sort_array(F.collect_list(
-        F.struct("path", (-F.col("file_id")).alias("neg"))), asc=False).alias("x"))
-    order = ids.select("project_id", F.transform("x", lambda e: -e["neg"]).alias("ids"))
+    listed = s.where("language <> 'text'").select("project_id", "file_id", "path")
+    order = numbered(listed, ["project_id"], [F.col("path").desc(), F.col("file_id")], -coarse_text(F.col("path")), "n").withColumn("place", F.col("n") - 1)
     return L.reordered(s, order).select("project_id", "file_id", "position")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.operators import dependencies as D, lint as L
+from codeloom.operators.ranking import coarse_text, numbered
 from codeloom.plans.analytics import stored
 from codeloom.plans.naming import _norm
 from codeloom.plans.registry import query
@@ -193,7 +194,7 @@ _MAIN = "coalesce((SELECT main_file FROM main_files m WHERE m.project_id = d.pro
 _COMMENT = "# Auto-generated from the extracted files"
 
 
-@query("a10_manifest_texts", sql(rf"""
+_MANIFESTS = rf"""
 SELECT project_id, 'requirements.txt' AS path, {q(_COMMENT)} || chr(10) || '# Review and update versions as needed' || chr(10) || chr(10) || string_agg(package, chr(10) ORDER BY package) AS text
 FROM dependencies WHERE ecosystem = 'python' GROUP BY ALL
 UNION ALL SELECT d.project_id, 'package.json', '{{' || chr(10) || '  "name": "' || {_PKG} || '",' || chr(10) || '  "version": "1.0.0",' || chr(10) || '  "main": "' || {_MAIN} || '",' || chr(10)
@@ -203,11 +204,25 @@ FROM dependencies d WHERE ecosystem = 'node' GROUP BY d.project_id
 UNION ALL SELECT d.project_id, 'go.mod', 'module github.com/user/' || lower(d.project_id) || chr(10) || chr(10) || 'go 1.21' || chr(10) || chr(10) || 'require (' || chr(10)
   || string_agg(chr(9) || package || ' latest', chr(10) ORDER BY package) || chr(10) || ')' FROM dependencies d WHERE ecosystem = 'go' GROUP BY d.project_id
 UNION ALL SELECT d.project_id, 'pom-dependencies.xml', '<dependencies>' || chr(10) || string_agg('  <dependency><groupId>' || string_split(package, ':')[1] || '</groupId><artifactId>'
-  || string_split(package, ':')[2] || '</artifactId></dependency>', chr(10) ORDER BY package) || chr(10) || '</dependencies>' FROM dependencies d WHERE ecosystem = 'java' GROUP BY d.project_id""",
-    "dependencies", "main_files"))
+  || string_split(package, ':')[2] || '</artifactId></dependency>', chr(10) ORDER BY package) || chr(10) || '</dependencies>' FROM dependencies d WHERE ecosystem = 'java' GROUP BY d.project_id"""
+
+
+@query("a10_manifest_texts", sql(_MANIFESTS, "dependencies", "main_files"))
 def manifest_texts(t):
     """Manifest lines glued to texts; a sample project has at most sixty-four files, so its manifest is short."""
     s = stored(t)
     lines = D.manifest_lines(D.dependencies(s), D.main_files(s))
     return lines.groupBy("project_id", "path").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("section", "sort_key", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("a10_manifest_lines", sql(f"""
+SELECT project_id, path, unnest(range(len(lines))) AS place, unnest(lines) AS line FROM (SELECT project_id, path, string_split(text, chr(10)) AS lines FROM ({_MANIFESTS}))""", "dependencies", "main_files"))
+def manifest_lines(t):
+    """Manifests as numbered rows: a project may have any number of packages."""
+    s = stored(t)
+    lines = D.manifest_lines(D.dependencies(s), D.main_files(s))
+    # Frame lines have sections below or above that of the packages; these are many, and differ in their first letters.
+    coarse = F.struct(F.col("section"), coarse_text(F.col("sort_key")))
+    found = numbered(lines, ["project_id", "path"], [F.col("section"), F.col("sort_key")], coarse, "n")
+    return found.select("project_id", "path", (F.col("n") - 1).alias("place"), "line")

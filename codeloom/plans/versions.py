@@ -89,6 +89,13 @@ def timeline(t):
     return O.timeline(V.versions(t))
 
 
+@query("a13_timeline_changes", sql("""
+SELECT project_id, strftime(ts, '%Y-%m-%d') AS day, version_id, path, change_type, size,
+  row_number() OVER (PARTITION BY project_id, strftime(ts, '%Y-%m-%d') ORDER BY ts DESC, version_id DESC) - 1 AS place FROM versions""", "versions"))
+def timeline_changes(t):
+    return O.timeline_changes(V.versions(t)).drop("ts")
+
+
 @query("v7_toggled_favorites", sql("""
 WITH g AS (SELECT user_id AS version_id, count(*) % 2 = 1 AS flip FROM events GROUP BY 1)
 SELECT v.version_id, CASE WHEN coalesce(flip, false) THEN NOT is_favorite ELSE is_favorite END AS is_favorite FROM versions v LEFT JOIN g ON g.version_id = v.version_id""", "versions"))
