@@ -1,4 +1,4 @@
-"""Times the headline queries: median of three warm runs each, written to a sink that keeps nothing."""
+"""Times the headline queries: median of two warm runs each, written to a sink that keeps nothing."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ HEADLINE = [
     "a5_overview", "q3_relevance", "t1_search_by_relevance", "a20_diff_statistics", "v6_changed_line_sets", "j7_version_as_of",
     "l10_all_findings", "a10_dependencies", "st4_live_merge",
 ]
-RUNS = 3
+RUNS = 2
 
 
 def main() -> None:
