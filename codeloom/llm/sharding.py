@@ -27,15 +27,21 @@ OVERFULL = 2.0
 TOGETHER = 0.02
 
 
-def _sampled(keyed: DataFrame, number: int) -> np.ndarray:
+def _sampled(keyed: DataFrame, number: int, rows: int, size: int) -> np.ndarray:
     """``number`` keys at most, drawn without return, with chances in proportion to size: (hash, id) rows, sorted.
 
-    The draw hangs on key and id alone, so it is the same in every run. The sample is bounded by ``number``.
+    The draw hangs on key and id alone, so it is the same in every run. ``rows`` and ``size`` are those of the table: the
+    waits are exponential, so all but about twice ``number`` are left out by a threshold before the rest is sorted.
     """
     uniform = (F.pmod(F.xxhash64("hash", "rid", F.lit("draw")), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     drawn = keyed.select("hash", "rid", (-F.log(uniform) / F.greatest(F.col("size"), F.lit(1))).alias("wait"))
-    rows = drawn.orderBy("wait", "hash", "rid").limit(number).select("hash", "rid").toArrow()
-    return np.array(sorted(zip(rows["hash"].to_pylist(), rows["rid"].to_pylist())), dtype=np.int64).reshape(-1, 2)
+    if rows > 4 * number:
+        longest = 2.0 * number / max(size, rows)
+        while drawn.where(F.col("wait") <= longest).count() < number:  # where few large records hold most of the size
+            longest *= 4
+        drawn = drawn.where(F.col("wait") <= longest)
+    found = drawn.orderBy("wait", "hash", "rid").limit(number).select("hash", "rid").toArrow()
+    return np.array(sorted(zip(found["hash"].to_pylist(), found["rid"].to_pylist())), dtype=np.int64).reshape(-1, 2)
 
 
 def _before(hashes: np.ndarray) -> np.ndarray:
@@ -78,7 +84,7 @@ def splitters_of(keyed: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]
     total = keyed.agg(F.count("*"), F.sum("size")).first()
     rows, size = total[0], total[1] or 0
     ranges = int(min(MOST_RANGES, max(RANGES_PER_SHARD * shards, rows // ROWS_PER_RANGE)))
-    sample = _sampled(keyed, SAMPLES * ranges)
+    sample = _sampled(keyed, SAMPLES * ranges, rows, size)
     splitters = _before(np.unique(sample[SAMPLES::SAMPLES, 0]))
     share = max(1.0, size / ranges)
     while True:
@@ -89,7 +95,7 @@ def splitters_of(keyed: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]
         inside = _with_range(keyed, splitters).join(F.broadcast(keyed.sparkSession.createDataFrame([(int(r),) for r in full[:, 0]], "range long")), "range")
         # As many more splitters as the ranges lack; no more ranges are full than MOST_RANGES.
         lacking = int(np.ceil(full[:, 1] / share).sum())
-        more = _sampled(inside.select("hash", "rid", "size"), SAMPLES * lacking)
+        more = _sampled(inside.select("hash", "rid", "size"), SAMPLES * lacking, int(full[:, 2].sum()), int(full[:, 1].sum()))
         # A hash that fills two shares or more is split by row number; others are borders between hashes.
         hashes, counts = np.unique(more[:, 0], return_counts=True)
         heavy = np.isin(more[:, 0], hashes[counts >= OVERFULL * SAMPLES])

@@ -61,3 +61,12 @@ def test_ranges_by_hash_and_id(seed):
     keys = draw.integers(0, 6, (50, 2))
     want = [sum(tuple(s) <= tuple(k) for s in splitters.tolist()) for k in keys.tolist()]
     assert sharding._range_of(keys[:, 0], keys[:, 1], splitters).tolist() == want
+
+
+@pytest.mark.parametrize("large", [0, 3, 400])
+def test_sample_is_that_of_all_waits(spark, large):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("hash"), F.col("id").alias("rid"), F.when(F.col("id") < large, 10 ** 9).otherwise(F.col("id") % 7).alias("size"))
+    total = rows.agg(F.count("*"), F.sum("size")).first()
+    found = sharding._sampled(rows, 200, total[0], total[1])
+    every = sharding._sampled(rows, 200, 0, 0)  # no threshold
+    assert len(found) == 200 and (found == every).all()
